@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, html_text, knn, licenses, pii, sharding, warc
+from tessera.llm import bpe, decontaminate, html_text, jaccard, knn, licenses, pii, sharding, toxicity, warc
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 N_SHARDS = 24
@@ -30,6 +30,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_inner_products(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
@@ -50,9 +54,20 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are called toxic, with their probabilities; all are scored."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).where("toxic")
+
+
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_pii": op1_pii, "op2_sharding": op2_sharding, "op4_nearest": op4_nearest, "op5_bpe": op5_bpe,
-    "op6_licenses": op6_licenses, "op7_main_text": op7_main_text, "op8_warc": op8_warc,
+    "op1_pii": op1_pii, "op2_sharding": op2_sharding, "op3_leaks": op3_leaks, "op4_nearest": op4_nearest, "op5_bpe": op5_bpe,
+    "op6_licenses": op6_licenses, "op7_main_text": op7_main_text, "op8_warc": op8_warc, "op9_toxicity": op9_toxicity,
+    "op10_jaccard": op10_jaccard,
 }
 
 _DOT = "list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[])"
