@@ -165,8 +165,25 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(step, dtype=U64), ids[index]
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, least node of its component), one a node but the least: they connect what the edges (a, b) do."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        for side in (label[x], label[y], x, y):
+            np.minimum.at(new, side, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = label != np.arange(len(nodes))
+    return nodes[other], nodes[label[other]]
+
+
 def meet(sig: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(signatures, least owner of each, a, b): a shares a signature with the smaller b, its least owner; each pair once."""
+    """(signatures, least owner of each, a, b): the pairs (a, b) connect all owners that share a signature, as a forest."""
     order = np.lexsort((owner, sig))
     sig, owner = sig[order], owner[order]
     new = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.empty(0, bool)
@@ -176,7 +193,7 @@ def meet(sig: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     if not differ.any():
         return sig[new], least, owner[:0], owner[:0]
     pairs = np.unique(np.column_stack([owner[differ], of[differ]]), axis=0)
-    return sig[new], least, pairs[:, 0], pairs[:, 1]
+    return sig[new], least, *forest(pairs[:, 0], pairs[:, 1])
 
 
 _FIELDS = {"kind": pa.int32(), "a": pa.int64(), "b": pa.int64(), "n": pa.int64(), "d1": pa.int64(), "d2": pa.int64(), "blob": pa.binary()}
