@@ -92,7 +92,10 @@ class Field:
 
     def _compare_number(self, op: str, value: float) -> Column:
         if self.is_float:
-            near = float(value) if abs(value) < 2**1023 else math.copysign(math.inf, value)
+            try:
+                near = float(value)
+            except OverflowError:
+                near = math.copysign(math.inf, value)
             if value != value or near == value:
                 return _native(self.col, op, F.lit(near))
             # No double lies between the literal and the double next to it.

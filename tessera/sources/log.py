@@ -17,7 +17,7 @@ from tessera.operators import temporal
 
 SCHEMA = (
     T.StructType().add("mem", "string").add("ts", "long").add("kind", "string").add("tbl", "string").add("id", "string").add("body", BODY)
-    .add("json", "string").add("embedding", "array<float>").add("src", "string").add("dst", "string").add("name", "string").add("weight", "float").add("dim", "int")
+    .add("json", "string").add("embedding", T.ArrayType(T.FloatType())).add("src", "string").add("dst", "string").add("name", "string").add("weight", "float").add("dim", "integer")
 )
 BUILT_IN = ("global", "meta")  # fixed values: tables that exist without a declaration
 
