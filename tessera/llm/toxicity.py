@@ -23,7 +23,7 @@ TOKEN = re.compile(r"[^\W_]+|[^\w\s]+")
 #: Labelled rows that fitting reads at most, the smallest by a hash of the id.
 MAX_LABELLED = 10_000
 FOLDS = 4
-MIN_WEIGHT, MIN_Z, MAX_FEATURES, RIDGE = 5.0, 5.0, 400, 0.1
+MIN_WEIGHT, MIN_Z, MAX_FEATURES, RIDGE = 5.0, 5.0, 256, 0.1
 #: Beside itself a word stands for its first letters, so that inflected and compound insults share weight.
 STEMS = (4, 5, 6)
 
@@ -55,7 +55,7 @@ class Linear:
 
 
 class Sample:
-    """Labelled rows as one array of word codes, with weights that make rows sharing their least word code count once together."""
+    """Labelled rows as one array of word codes, with weights."""
 
     def __init__(self, codes: list[np.ndarray]):
         self.n = len(codes)
@@ -67,9 +67,11 @@ class Sample:
         at = np.minimum(np.searchsorted(self.codes, flat), max(0, len(self.codes) - 1))
         hit = self.codes[at] == flat if len(self.codes) else np.zeros(len(flat), bool)
         self.row, self.at = row[hit], at[hit]
-        least = np.array([min((((int(x) * 0x9E3779B1) & 0xFFFFFFFF) for x in c), default=-1) for c in codes], np.int64)
-        _, group, size = np.unique(least, return_inverse=True, return_counts=True)
-        self.weight = np.where(least < 0, 1.0, 1.0 / size[group]) if self.n else np.empty(0)
+        # Near copies mostly share their four least mixed codes; they count once together.
+        sketch = [np.sort(c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:4].tobytes() or i for i, c in enumerate(codes)]
+        group: dict = {}
+        of = np.array([group.setdefault(x, len(group)) for x in sketch], int)
+        self.weight = 1.0 / np.bincount(of)[of] if self.n else np.empty(0)
 
     def present(self, codes: np.ndarray) -> np.ndarray:
         x = np.zeros((self.n, len(codes)), np.float32)
@@ -94,13 +96,13 @@ class Sample:
         x = np.hstack([self.present(codes), extra, np.ones((self.n, 1))]).astype(np.float64)
         beta, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], RIDGE)
         ridge[-1] = 1e-6
-        for _ in range(25):
+        for _ in range(15):
             prob = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
             slope = x.T @ (w * (y - prob)) - ridge * beta
             curve = (x * (w * np.maximum(prob * (1 - prob), 1e-6))[:, None]).T @ x + np.diag(ridge)
             step = np.linalg.solve(curve, slope)
             beta += step * min(1.0, 4.0 / max(1e-12, np.abs(step).max()))
-            if np.abs(step).max() < 1e-6:
+            if np.abs(step).max() < 1e-3:
                 break
         k = len(codes)
         return Linear(codes, beta[:k], beta[k:-1], float(beta[-1]))
