@@ -227,10 +227,9 @@ def _sketch(k: int, num: int, den: int, targets: int):
             to = (sig >> U64(32)) % U64(targets)
             order = np.argsort(to, kind="stable")
             cuts = np.searchsorted(to[order], np.arange(targets + 1, dtype=U64))
-            for t in range(targets):
-                part = order[cuts[t] : cuts[t + 1]]
-                if len(part):
-                    yield _rows(kind=[BLOB], a=[t], blob=[pack(sig[part], owner[part])])
+            full = np.flatnonzero(np.diff(cuts))
+            parts = (order[cuts[t] : cuts[t + 1]] for t in full)
+            yield _rows(kind=np.full(len(full), BLOB), a=full, blob=[pack(sig[part], owner[part]) for part in parts])
 
         for batch in batches:
             for piece in _slices(batch, 1):
