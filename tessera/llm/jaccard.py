@@ -27,8 +27,8 @@ U64 = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U64)
 #: Characters of text worked on at a time, and signatures that a task holds before it passes them on.
 SLICE_CHARS, HELD_SIGNATURES = 4_000_000, 3_000_000
-#: Documents in a verification block.
-BLOCK = 256
+#: Documents in a verification block, and in a block of count vectors.
+BLOCK, COUNT_BLOCK = 256, 1024
 #: Ids to broadcast at most: 8 MB as longs. More are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -147,6 +147,11 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> tuple[np.ndarray, np.nda
     return np.concatenate(sigs), np.concatenate(owners)
 
 
+def count_vector(s: np.ndarray) -> bytes:
+    """Elements in each 256th of the hash universe, 255 at most: the vectors of two sets differ by no more than the sets do."""
+    return np.minimum(np.bincount((s >> U64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
 def pack(sig: np.ndarray, owner: np.ndarray) -> bytes:
     """Sorted signatures as differences, byte plane by byte plane, then the owners' planes: zero planes compress away."""
     order = np.argsort(sig, kind="stable")
@@ -236,7 +241,9 @@ def _sketch(k: int, num: int, den: int, targets: int):
                 sets, ids = shingle_sets(piece.column(1), k), piece.column(0).to_pylist()
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                yield _rows(kind=np.full(len(ids), DOC), a=ids, n=[len(s) for s in sets], d1=both[:, 0], d2=both[:, 1])
+                place = [2 * bands.band(len(s)) + (bands.partner_band(len(s)) is not None) if len(s) else 0 for s in sets]
+                counts = [count_vector(s) for s in sets]
+                yield _rows(kind=np.full(len(ids), DOC), a=ids, b=place, n=[len(s) for s in sets], d1=both[:, 0], d2=both[:, 1], blob=counts)
                 first = [i for i, d in enumerate(digests) if ids[i] is not None and len(sets[i]) and not (d in seen or seen.add(d))]
                 sig, which = signatures([sets[i] for i in first], bands)
                 if len(sig):
@@ -259,6 +266,23 @@ def _met(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _plausible(num: int, den: int):
+    """Of documents with count vectors, a forest of the pairs that these don't rule out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, n = table["doc_id"].to_pylist(), np.asarray(table["n"])
+        x = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16)
+        near = np.zeros((len(ids), len(ids)), bool)
+        most = (n[:, None] + n[None, :]) * (den - num) // (den + num)
+        for i in range(len(ids)):
+            some = np.flatnonzero(np.abs(n - n[i]) <= most[i])
+            near[i, some] = np.abs(x[some] - x[i]).sum(axis=1, dtype=np.int32) <= most[i, some]
+        links = spanning_links(ids, near)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return run
+
+
 def linked_pairs(sets: list[np.ndarray], num: int, den: int, column_step: int = 8192) -> np.ndarray:
     """Matrix of which sets link: den * intersection >= num * union. Exact counts, elements taken a stretch at a time."""
     n, sizes = len(sets), np.array([len(s) for s in sets])
@@ -335,6 +359,23 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     candidates = materialize(sketch.where(F.col("kind") == EDGE).select("a", "b").unionByName(met).distinct(), "candidates")
     groups = connected_components(candidates)
 
+    # Large groups are mostly chains of unlike documents that share a small segment. Count vectors, compared within a band and
+    # its neighbour, tell those apart without their texts; what they can't tell apart stays one group.
+    tally = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    large = tally.where(F.col("size") > BLOCK)
+    if not large.isEmpty():
+        vectors = sketch.where((F.col("kind") == DOC) & (F.col("n") > 0)).select(F.col("a").alias("node"), "n", F.shiftright("b", 1).alias("band"), (F.col("b") % 2).alias("partner"), F.col("blob").alias("counts"))
+        in_large = materialize(groups.join(large.select("component"), "component", "left_semi"), "large")
+        schemes = F.when(F.col("partner") == 1, F.array("band", F.col("band") - 1)).otherwise(F.array("band"))
+        rows_of = materialize(in_large.join(vectors, "node").select("component", F.col("node").alias("doc_id"), "n", "counts", F.explode(schemes).alias("scheme")), "vectors")
+        parts = rows_of.groupBy("component", "scheme").agg(F.ceil(F.count(F.lit(1)) / COUNT_BLOCK).cast("int").alias("blocks"))
+        cut = rows_of.join(parts, ["component", "scheme"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or block <> other")
+        pairs = cut.select("component", "scheme", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", "n", "counts")
+        plausible = pairs.groupBy("component", "scheme", "low", "high").applyInArrow(_plausible(num, den), "a long, b long")
+        refined = connected_components(materialize(plausible.distinct(), "plausible"))
+        groups = materialize(groups.join(large.select("component"), "component", "left_anti").select("node", "component").unionByName(refined), "groups")
+
     sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = materialize(groups.join(sizes, "component").select("component", F.col("node").alias("doc_id"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")), "placed")
     # The least document of a group visits each of its blocks, which often joins them at once.

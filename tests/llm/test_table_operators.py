@@ -121,7 +121,8 @@ def near_copies(rng, n_groups=25):
 
 @pytest.mark.parametrize("k, num", [(3, 90), (5, 80)])
 def test_components_equal_all_pairs(spark, k, num, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 3)  # groups of several blocks, so that all paths run
+    monkeypatch.setattr(jaccard, "BLOCK", 3)  # large groups and groups of several blocks, so that all paths run
+    monkeypatch.setattr(jaccard, "COUNT_BLOCK", 4)
     rows = near_copies(random.Random(num))
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, component string").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, k, num, 100).collect()}
