@@ -31,23 +31,40 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Rows of ids or id pairs to broadcast at most: 16 MB. Larger sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it was counted and found small enough; for tables written before, whose count is cheap."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the undirected edges (a, b): component is the smallest node reachable.
 
-    Every round takes the least label among neighbours and then the label of that label, so chains halve.
-    Labels stay distributed; the driver sees one count a round.
+    Every round each node takes its least neighbour for parent, pointers double until they reach the roots, and the edges
+    shrink to those between roots: components at least halve in number. Nodes and edges stay distributed; the driver sees
+    counts.
     """
-    both = materialize(
-        edges.select("a", "b").where("a <> b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-        "cc-edges",
-    )
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "cc-labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("seen"))
-        hooked = labels.join(near, "node").select("node", "component", F.least("component", "seen").alias("low"))
-        target = labels.select(F.col("node").alias("low"), F.col("component").alias("jump"))
-        stepped = materialize(hooked.join(target, "low", "left").select("node", F.col("component").alias("was"), F.least("low", "jump").alias("component")), "cc-labels")
-        labels = stepped.select("node", "component")
-        if stepped.where("was <> component").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+    tied = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs, labels = materialize(tied(edges.select("a", "b")), "edges"), None
+    while not pairs.isEmpty():
+        ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a").alias("up")), F.struct(F.col("b").alias("node"), F.col("a").alias("up")))).alias("e")).select("e.*")
+        parents = materialize(ends.groupBy("node").agg(F.min("up").alias("up")), "parents")
+        while True:
+            above = small(parents.where("node <> up").select(F.col("node").alias("up"), F.col("up").alias("top")))
+            jumped = materialize(parents.join(above, "up", "left").select("node", "up", F.coalesce("top", "up").alias("top")), "parents")
+            parents = jumped.select("node", F.col("top").alias("up"))
+            if jumped.where("up <> top").isEmpty():
+                break
+        moved = parents.where("node <> up")
+        if labels is None:
+            labels = parents.withColumnRenamed("up", "component")
+        else:
+            step = small(moved.select(F.col("node").alias("component"), "up"))
+            labels = materialize(labels.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
+        a, b = (small(moved.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up"))) for c in "ab")
+        met = pairs.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_up", "a").alias("a"), F.coalesce("b_up", "b").alias("b"))
+        pairs = materialize(tied(met), "edges")
+    return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")) if labels is None else labels

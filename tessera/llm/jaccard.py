@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import connected_components, materialize
+from tessera.llm._shared import connected_components, materialize, small
 
 U64 = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U64)
@@ -29,8 +29,6 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 SLICE_CHARS, HELD_SIGNATURES = 4_000_000, 3_000_000
 #: Documents in a verification block, and in a block of count vectors.
 BLOCK, COUNT_BLOCK = 256, 1024
-#: Ids to broadcast at most: 8 MB as longs. More are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -327,11 +325,6 @@ def _verify(k: int, num: int, den: int):
     return run
 
 
-def _texts_of(own: DataFrame, ids: DataFrame) -> DataFrame:
-    """own joined with ids (doc_id and more): by broadcast if the ids are few, else by a shuffle."""
-    return own.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id")
-
-
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per row of docs: sets link at Jaccard num / den or more.
 
@@ -356,50 +349,50 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     equal = nodes.select(F.col("doc_id").alias("a"), "d1", "d2", "n", salt("doc_id")).join(classes, ["d1", "d2", "n", "salt"]).where("a <> b").select("a", "b")
 
     met = sketch.where(F.col("kind") == BLOB).select(F.col("a").alias("target"), "blob").groupBy("target").applyInArrow(_met, "a long, b long")
-    candidates = materialize(sketch.where(F.col("kind") == EDGE).select("a", "b").unionByName(met).distinct(), "candidates")
-    groups = connected_components(candidates)
+    groups = connected_components(sketch.where(F.col("kind") == EDGE).select("a", "b").unionByName(met))
 
     # Large groups are mostly chains of unlike documents that share a small segment. Count vectors, compared within a band and
     # its neighbour, tell those apart without their texts; what they can't tell apart stays one group.
-    tally = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    large = tally.where(F.col("size") > BLOCK)
+    tally = materialize(groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "tally")
+    large = tally.where(F.col("size") > BLOCK).select("component")
     if not large.isEmpty():
         vectors = sketch.where((F.col("kind") == DOC) & (F.col("n") > 0)).select(F.col("a").alias("node"), "n", F.shiftright("b", 1).alias("band"), (F.col("b") % 2).alias("partner"), F.col("blob").alias("counts"))
-        in_large = materialize(groups.join(large.select("component"), "component", "left_semi"), "large")
+        in_large = materialize(groups.join(small(large), "component"), "large")
         schemes = F.when(F.col("partner") == 1, F.array("band", F.col("band") - 1)).otherwise(F.array("band"))
-        rows_of = materialize(in_large.join(vectors, "node").select("component", F.col("node").alias("doc_id"), "n", "counts", F.explode(schemes).alias("scheme")), "vectors")
-        parts = rows_of.groupBy("component", "scheme").agg(F.ceil(F.count(F.lit(1)) / COUNT_BLOCK).cast("int").alias("blocks"))
-        cut = rows_of.join(parts, ["component", "scheme"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+        rows_of = materialize(vectors.join(small(in_large), "node").select("component", F.col("node").alias("doc_id"), "n", "counts", F.explode(schemes).alias("scheme")), "vectors")
+        parts = materialize(rows_of.groupBy("component", "scheme").agg(F.ceil(F.count(F.lit(1)) / COUNT_BLOCK).cast("int").alias("blocks")), "parts")
+        cut = rows_of.join(small(parts), ["component", "scheme"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
         cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or block <> other")
         pairs = cut.select("component", "scheme", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", "n", "counts")
-        plausible = pairs.groupBy("component", "scheme", "low", "high").applyInArrow(_plausible(num, den), "a long, b long")
-        refined = connected_components(materialize(plausible.distinct(), "plausible"))
-        groups = materialize(groups.join(large.select("component"), "component", "left_anti").select("node", "component").unionByName(refined), "groups")
+        refined = connected_components(pairs.groupBy("component", "scheme", "low", "high").applyInArrow(_plausible(num, den), "a long, b long"))
+        groups = materialize(groups.join(small(large), "component", "left_anti").select("node", "component").unionByName(refined), "groups")
+        tally = materialize(groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "tally")
 
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sizes = small(tally.select("component", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
     placed = materialize(groups.join(sizes, "component").select("component", F.col("node").alias("doc_id"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")), "placed")
     # The least document of a group visits each of its blocks, which often joins them at once.
     visits = F.when(F.col("doc_id") == F.col("component"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
-    members = placed.select("component", "doc_id", F.explode(visits).alias("block"))
+    members = materialize(placed.select("component", "doc_id", F.explode(visits).alias("block")), "members")
     check = _verify(k, num, den)
-    first = _texts_of(own, members).groupBy("component", "block").applyInArrow(check, "a long, b long")
+    first = own.join(small(members), "doc_id").groupBy("component", "block").applyInArrow(check, "a long, b long")
     links = materialize(equal.unionByName(first), "links")
     labels = connected_components(links)
 
     wide = placed.where("blocks > 1")
-    parted = wide.join(labels.withColumnRenamed("component", "part"), placed["doc_id"] == F.col("node"), "left").select("component", "doc_id", "blocks", "block", F.coalesce("part", "doc_id").alias("part"))
-    open_groups = parted.groupBy("component").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("component")
-    rest = materialize(wide.join(open_groups, "component", "left_semi"), "rest")
-    if not rest.isEmpty():  # groups of several blocks that the visits did not join: every pair of blocks meets
-        other = rest.select("component", "doc_id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("block <> other")
-        pairs = other.select("component", "doc_id", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-        more = _texts_of(own, pairs).groupBy("component", "low", "high").applyInArrow(check, "a long, b long")
-        labels = connected_components(materialize(links.unionByName(more), "links"))
-    out = rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    if not wide.isEmpty():
+        parted = wide.join(small(labels.select(F.col("node").alias("doc_id"), F.col("component").alias("part"))), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+        parts = materialize(parted.groupBy("component").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("component"), "parted")
+        rest = materialize(wide.join(small(parts), "component", "left_semi"), "rest")
+        if not rest.isEmpty():  # groups of several blocks that the visits did not join: every pair of blocks meets
+            other = rest.select("component", "doc_id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("block <> other")
+            pairs = materialize(other.select("component", "doc_id", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")), "pairs")
+            more = own.join(small(pairs), "doc_id").groupBy("component", "low", "high").applyInArrow(check, "a long, b long")
+            labels = connected_components(links.unionByName(more))
+    out = rows.join(small(labels.withColumnRenamed("node", "doc_id")), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs without those whose group of near copies has a smaller id; all columns. Rows of one id, or of none, stay or go together."""
     out = materialize(jaccard_components(docs, k, num, den).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(F.broadcast(out) if out.count() <= BROADCAST_IDS else out, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small(out), "doc_id", "left_anti").select(docs.columns)
