@@ -22,8 +22,11 @@ class Step:
     where: Callable[[DataFrame], Column] | None = None
 
 
-def _step_edges(edges: DataFrame, step: Step) -> DataFrame:
+def _step_edges(edges: DataFrame, step: Step, start: str | None = None) -> DataFrame:
+    """The edges a step may take; from one start only, the filter goes to the scan and the hop's join is small."""
     own = edges.where(F.col("name") == step.name.lstrip(":"))
+    if start is not None:
+        own = own.where(F.col("src" if step.outgoing else "dst") == start)
     if step.where is not None:
         own = own.where(step.where(own))
     a, b = ("src", "dst") if step.outgoing else ("dst", "src")
@@ -41,10 +44,10 @@ def match(nodes: DataFrame, edges: DataFrame, start: str, steps: list[Step]) ->
     """
     frontier = _start(nodes, start).withColumn("seq", F.lit(0).cast("long"))
     seen = frontier.select("id", F.lit(0.0).alias("score"))
-    for step in steps:
-        reached = _step_edges(edges, step).join(frontier.select(F.col("id").alias("here")), "here", "left_semi")
+    for i, step in enumerate(steps):
+        reached = _step_edges(edges, step, None if i else start).join(frontier.select(F.col("id").alias("here")), "here", "left_semi")
         first = reached.groupBy(F.col("there").alias("id")).agg(F.min("seq").alias("seq"), F.coalesce(F.min_by("weight", "seq"), F.lit(0.0)).cast("double").alias("new"))
-        frontier = first.join(nodes.select("id").distinct(), "id", "left_semi")
+        frontier = first.join(nodes.select("id"), "id", "left_semi")
         both = frontier.select("id", "new").join(seen, "id", "full_outer")
         seen = both.select("id", F.coalesce("score", "new").alias("score"))
     return frontier.select("id", "seq").join(seen, "id").select("id", "score", "seq")
@@ -53,10 +56,10 @@ def match(nodes: DataFrame, edges: DataFrame, start: str, steps: list[Step]) ->
 def match_count(nodes: DataFrame, edges: DataFrame, start: str, steps: list[Step]) -> DataFrame:
     """One row: the number of walks along the steps, parallel edges counted each; saturates at the largest 64-bit unsigned."""
     walks = _start(nodes, start).withColumn("walks", F.lit(1).cast("decimal(38,0)"))
-    known = nodes.select(F.col("id").alias("there")).distinct()
+    known = nodes.select(F.col("id").alias("there"))
     cap = F.lit(str(U64_MAX)).cast("decimal(38,0)")
-    for step in steps:
-        hop = _step_edges(edges, step).join(walks.withColumnRenamed("id", "here"), "here")
+    for i, step in enumerate(steps):
+        hop = _step_edges(edges, step, None if i else start).join(walks.withColumnRenamed("id", "here"), "here")
         walks = hop.groupBy("there").agg(F.least(F.sum("walks").cast("decimal(38,0)"), cap).alias("walks")).join(known, "there", "left_semi").withColumnRenamed("there", "id")
     return walks.agg(F.least(F.coalesce(F.sum("walks"), F.lit(0)).cast("decimal(38,0)"), cap).alias("count"))
 
@@ -69,7 +72,7 @@ def closure(nodes: DataFrame, edges: DataFrame, start: str, steps: list[Step], c
     emptiness test a level.
     """
     seen = cut(_start(nodes, start).select("id", F.lit(0).cast("long").alias("depth"), F.array().cast("array<bigint>").alias("visit")))
-    known, depth = nodes.select("id").distinct(), 0
+    known, depth = nodes.select("id"), 0
     for i, step in enumerate(steps):
         own = _step_edges(edges, step).select("seq", "here", "there")
         frontier = seen if i == 0 else seen.where(F.col("id") != start)
