@@ -122,17 +122,27 @@ _FOLD = re.compile("[" + "".join(map(re.escape, sorted(FOLD))) + "]")
 _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 _DOT = "(?:dot|punto|punkt|point)"
 _AT = "(?:at|arroba)"
-_JOIN = rf"(?:[ ,-]{{1,3}}|[ ]{_DOT}[ ])"
-_SPELLED = rf"\b(?:plus[ ,-]{{1,3}})?{_WORD}(?:{_JOIN}{_WORD}){{3,}}\b"
-_PLAIN_AT = rf" {_AT} [A-Za-z0-9-]+ {_DOT} "
-_BRACKETED = rf"[ \t]{{0,3}}[\[({{<][ \t]{{0,3}}(?:{_AT}|{_DOT}|@|\.)[ \t]{{0,3}}[\])}}>][ \t]{{0,3}}"
-_RUN, _PART = re.compile(_SPELLED, re.I), re.compile(rf"(?P<plus>plus[ ,-]+)|(?P<dot>[ ]{_DOT}[ ])|(?P<word>{_WORD}(?![^\W\d_]))|(?P<gap>[ ,-]+)", re.I)
-_PLAIN, _BRACKET = re.compile(_PLAIN_AT, re.I), re.compile(_BRACKETED, re.I)
-_PLAIN_DOMAIN, _PLAIN_DOT = re.compile(rf"[A-Za-z0-9-]+(?: {_DOT} [A-Za-z0-9-]+)+", re.I), re.compile(rf" {_DOT} ", re.I)
-_PLAIN_LOCAL = re.compile(rf"[A-Za-z0-9_%+-]+(?: {_DOT} [A-Za-z0-9_%+-]+)+\Z", re.I)
+_OPEN, _CLOSE = r"[ \t]{0,3}[\[({<][ \t]{0,3}", r"[ \t]{0,3}[\])}>][ \t]{0,3}"
+_BRACKET_DOT = rf"{_OPEN}(?:{_DOT}|\.){_CLOSE}"
+_SAID_DOT = rf"(?:{_BRACKET_DOT}|[ ]{_DOT}[ ])"
+_SAID_DIGIT = rf"(?:{_WORD}|[0-9]{{1,19}})"
+_SPELLED = rf"\b(?:plus[ ,-]{{1,3}})?{_SAID_DIGIT}(?:(?:[ ,-]{{1,3}}|{_SAID_DOT}){_SAID_DIGIT}){{3,}}\b"
+_RUN = re.compile(_SPELLED, re.I)
+_PART = re.compile(rf"(?P<plus>plus[ ,-]+)|(?P<dot>{_SAID_DOT})|(?P<word>{_WORD}(?![^\W\d_]))|(?P<digits>[0-9]+)|(?P<gap>[ ,-]+)", re.I)
+_AT_SIGN = re.compile(rf"(?P<bracket>{_OPEN}(?:{_AT}|@){_CLOSE})|(?P<said>[ ]{_AT}[ ])|(?P<sign>[ ]?@[ ]?)", re.I)
+_DOMAIN_SAID = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{_SAID_DOT})[A-Za-z0-9-]+)+", re.I)
+_LOCAL_SAID = re.compile(rf"[A-Za-z0-9._%+-]+(?:{_SAID_DOT}[A-Za-z0-9._%+-]+)*\Z", re.I)
+_SAID_DOTS, _BRACKET_DOTS = re.compile(_SAID_DOT, re.I), re.compile(_BRACKET_DOT, re.I)
+#: Letters that stand in for 0 and 1 among digits.
+_LETTER_DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1"}
+_MIXED = re.compile(r"(?<![A-Za-z0-9])[0-9OolI](?:[\x20().-]{0,2}[0-9OolI]){8,}(?![A-Za-z0-9])")
+_MIXED_HINT = r"[0-9][OolI]|[OolI][0-9]"
 #: What sends a text down the slow path, for the vectorised search over a batch: any fold character, run or disguise.
-TRIGGER = "(?i)" + "|".join([rf"[{''.join(sorted(re.escape(c) for c in FOLD))}]", _SPELLED, _PLAIN_AT, rf"[\[({{<][ \t]{{0,3}}(?:{_AT}|{_DOT}|@|\.)[ \t]{{0,3}}[\])}}>]"])
-#: An email's local part has 64 characters at most, so a disguised dot before its at is looked for no further back.
+TRIGGER = "(?i:" + "|".join([
+    rf"[{''.join(sorted(re.escape(c) for c in FOLD))}]", _SPELLED, rf"[\[({{<][ \t]{{0,3}}(?:{_AT}|{_DOT}|@|\.)[ \t]{{0,3}}[\])}}>]",
+    rf" {_AT} [a-z0-9-]+(?:\.|[ ]{_DOT}[ ])[a-z0-9]", rf" @|@ |@[a-z0-9.-]+[ ]{_DOT}[ ]",
+]) + ")|" + _MIXED_HINT
+#: An email's local part has 64 characters at most, so it is looked for no further back than this from a disguised at.
 LOCAL_MOST = 128
 
 
@@ -140,27 +150,46 @@ def fold_edits(text: str) -> list[tuple[int, int, str]]:
     return [] if text.isascii() else [(*m.span(), FOLD[m[0]]) for m in _FOLD.finditer(text)]
 
 
+def letter_edits(text: str) -> list[tuple[int, int, str]]:
+    """O, o, l and I in runs that are digits for the most part."""
+    edits = []
+    for m in _MIXED.finditer(text):
+        letters = [i for i in range(*m.span()) if text[i] in _LETTER_DIGITS]
+        if 0 < 3 * len(letters) <= sum(c.isdigit() for c in m[0]) + len(letters):
+            edits += [(i, i + 1, _LETTER_DIGITS[text[i]]) for i in letters]
+    return edits
+
+
 def spelled_edits(text: str) -> list[tuple[int, int, str]]:
+    """Runs of four or more spelled or written digits, if a digit or a dot in them is spelled."""
     edits = []
     for run in _RUN.finditer(text):
-        for m in _PART.finditer(text, *run.span()):
-            new = {"plus": "+", "dot": ".", "gap": ""}.get(m.lastgroup)
-            edits.append((*m.span(), DIGIT_WORDS[m[0].lower()] if new is None else new))
+        parts = [(m.lastgroup, m) for m in _PART.finditer(text, *run.span())]
+        if all(kind in ("digits", "gap") for kind, _ in parts):
+            continue
+        for kind, m in parts:
+            if kind != "digits":
+                new = {"plus": "+", "dot": ".", "gap": ""}.get(kind)
+                edits.append((*m.span(), DIGIT_WORDS[m[0].lower()] if new is None else new))
     return edits
 
 
 def disguise_edits(text: str) -> list[tuple[int, int, str]]:
-    edits = [(*m.span(), "@" if re.search("@|at|arroba", m[0], re.I) else ".") for m in _BRACKET.finditer(text)]
-    for m in _PLAIN.finditer(text):
-        end = m.start() + 1 + m[0][1:].index(" ") + 1
-        edits.append((m.start(), end, "@"))
-        domain = _PLAIN_DOMAIN.match(text, end)
-        edits += [(*d.span(), ".") for d in _PLAIN_DOT.finditer(text, *domain.span())] if domain else []
+    """At and dot in brackets or as words. A bare word "at" needs a spelled dot, or a name that isn't a plain word, beside it."""
+    edits = [(*m.span(), ".") for m in _BRACKET_DOTS.finditer(text)]
+    for m in _AT_SIGN.finditer(text):
+        domain = _DOMAIN_SAID.match(text, m.end())
         back = max(0, m.start() - LOCAL_MOST)
-        if local := _PLAIN_LOCAL.search(text[back : m.start()]):
-            edits += [(back + local.start() + d.start(), back + local.start() + d.end(), ".") for d in _PLAIN_DOT.finditer(local[0])]
+        local = _LOCAL_SAID.search(text[back : m.start()]) if domain else None
+        if not local:
+            continue
+        here = [(back + local.start() + d.start(), back + local.start() + d.end(), ".") for d in _SAID_DOTS.finditer(local[0])]
+        there = [(*d.span(), ".") for d in _SAID_DOTS.finditer(text, *domain.span())]
+        odd = m.lastgroup == "bracket" or here or there or m.lastgroup == "sign" and len(m[0]) > 1
+        if odd or m.lastgroup == "said" and re.search(r"[0-9._%+-]", local[0]):
+            edits += [*here, (*m.span(), "@"), *there]
     apart, reached = [], 0
-    for e in sorted(edits):
+    for e in sorted(set(edits)):
         if e[0] >= reached:
             apart.append(e)
             reached = e[1]
@@ -170,7 +199,7 @@ def disguise_edits(text: str) -> list[tuple[int, int, str]]:
 def disguised(text: str, base: list[Span]) -> list[Span]:
     """Spans that only show after rewriting, in source characters, none over a base span of its kind."""
     layers, now = [], text
-    for step in (fold_edits, spelled_edits, disguise_edits):
+    for step in (fold_edits, letter_edits, spelled_edits, disguise_edits):
         if edits := step(now):
             layers.append(Aligned(now, edits))
             now = layers[-1].text
