@@ -26,9 +26,11 @@ from tessera.llm._shared import connected_components, materialize, small
 U64 = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U64)
 #: Characters of text worked on at a time, and signatures that a task holds before it passes them on.
-SLICE_CHARS, HELD_SIGNATURES = 4_000_000, 3_000_000
+SLICE_CHARS, HELD_SIGNATURES = 2_000_000, 1_000_000
 #: Documents in a verification block, and in a block of count vectors.
 BLOCK, COUNT_BLOCK = 256, 1024
+#: Signature groups for each shuffle partition: more and smaller groups hold less in a task at once.
+TARGETS_A_PARTITION = 4
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -271,10 +273,10 @@ def _plausible(num: int, den: int):
         ids, n = table["doc_id"].to_pylist(), np.asarray(table["n"])
         x = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16)
         near = np.zeros((len(ids), len(ids)), bool)
-        most = (n[:, None] + n[None, :]) * (den - num) // (den + num)
         for i in range(len(ids)):
-            some = np.flatnonzero(np.abs(n - n[i]) <= most[i])
-            near[i, some] = np.abs(x[some] - x[i]).sum(axis=1, dtype=np.int32) <= most[i, some]
+            most = (n + n[i]) * (den - num) // (den + num)
+            some = np.flatnonzero(np.abs(n - n[i]) <= most)
+            near[i, some] = np.abs(x[some] - x[i]).sum(axis=1, dtype=np.int32) <= most[some]
         links = spanning_links(ids, near)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
@@ -336,7 +338,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     """
     spark = docs.sparkSession
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    targets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    targets = TARGETS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sketch = materialize(own.mapInArrow(_sketch(k, num, den, targets), _SCHEMA), "sketch")
     rows = sketch.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), "n", "d1", "d2")
 
