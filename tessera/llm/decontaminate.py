@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents are read as windows of words over the benchmark's vocabulary. A randomised SVD of TF-IDF windows gives a
-latent space; windows whose cosine with a benchmark item is high are candidates, and each candidate is checked by the
-longest common subsequence of words with the item, and by the item's closing words (its answer) where the rest is
+latent space; windows whose cosine there with a passage of a benchmark item is high are candidates, and so are the
+surroundings that hold enough of an item's rarer words to be a leak, which leaves none out. Each candidate is checked by
+the longest common subsequence of words with the item, and by the item's closing words (its answer) where the rest is
 only a paraphrase. Inverse document frequencies count all documents; the space is fitted on the items and a bounded
 sample of documents; every window of every document is searched.
 """
@@ -172,8 +173,21 @@ def latent_basis(fitted_on: DataFrame, items: Items, idf: np.ndarray, seed: int
     return basis[:, :RANK]
 
 
-def _candidates(docs: list[np.ndarray], idf, word_vectors, weight2, latent, most: int = 500_000) -> Iterator[tuple[int, int, int, float]]:
-    """(document, window, item, cosine) of the windows near an item; documents are taken `most` words at a time."""
+def passages(codes: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(passages, position of each one's item): items longer than a window are cut like documents, at each half."""
+    cut = [(c[p * HALF : (p + 2) * HALF], i) for i, c in enumerate(codes) for p in range(max(1, -(-len(c) // HALF) - 1))]
+    return [c for c, _ in cut], np.array([i for _, i in cut], np.int64)
+
+
+def unit_vectors(codes: list[np.ndarray], word_vectors: np.ndarray) -> np.ndarray:
+    """Latent vectors of length 1 of windows or passages; one without a weighing word keeps a zero vector."""
+    out = np.stack([word_vectors[c[c >= 0]].sum(axis=0) for c in codes])
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.where(norm > 1e-6, out / np.maximum(norm, 1e-6), 0).astype(np.float32)
+
+
+def _chunks(docs: list[np.ndarray], most: int = 500_000) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first document, words, half of each word, first half of each document, document of each half), `most` words at a time."""
     start = 0
     while start < len(docs):
         stop, size = start, 0
@@ -183,31 +197,88 @@ def _candidates(docs: list[np.ndarray], idf, word_vectors, weight2, latent, most
         lengths = np.array([len(c) for c in docs[start:stop]])
         n_halves = -(-lengths // HALF)
         base = np.concatenate([[0], np.cumsum(n_halves)])
-        flat = np.concatenate(docs[start:stop])
-        at = np.flatnonzero((flat >= 0) & (idf[flat] > 0))
-        begins = np.cumsum(lengths) - lengths
-        doc = np.repeat(np.arange(stop - start), lengths)[at]
-        half, words = base[doc] + (at - begins[doc]) // HALF, flat[at]
-        sums, norm2 = np.zeros((base[-1], word_vectors.shape[1]), np.float32), np.zeros(base[-1])
-        if len(at):
-            first = np.flatnonzero(np.diff(half, prepend=-1))
-            sums[half[first]] = np.add.reduceat(word_vectors[words], first, axis=0)
-            norm2[half[first]] = np.add.reduceat(weight2[words], first)
-        owner = np.repeat(np.arange(stop - start), n_halves)
-        paired = np.append(owner[1:] == owner[:-1], False) if len(owner) else np.empty(0, bool)
-        windows = np.flatnonzero(paired | (n_halves[owner] == 1))
-        after = np.where(paired[windows], windows + 1, windows)
-        second = paired[windows][:, None]
-        vectors = sums[windows] + np.where(second, sums[after], 0)
-        norm = np.sqrt(np.maximum(norm2[windows] + np.where(second[:, 0], norm2[after], 0), 1e-12))
-        near = np.flatnonzero(np.linalg.norm(vectors, axis=1) >= MIN_COSINE * norm)  # else no item's cosine is that large
-        cosines = (vectors[near] / norm[near][:, None]) @ latent.T
-        for r, i in zip(*np.nonzero(cosines >= MIN_COSINE), strict=True):
-            w = int(windows[near[r]])
-            yield start + int(owner[w]), w - int(base[owner[w]]), int(i), float(cosines[r, i])
+        doc = np.repeat(np.arange(stop - start), lengths)
+        half = base[doc] + (np.arange(size) - (np.cumsum(lengths) - lengths)[doc]) // HALF
+        yield start, np.concatenate(docs[start:stop]), half, base, np.repeat(np.arange(stop - start), n_halves)
         start = stop
 
 
+def _near_in_space(flat, half, base, owner, idf, word_vectors, latent, most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(half that a window starts at, passage) of the pairs with a cosine of MIN_COSINE, both sides of length 1 in the space."""
+    at = np.flatnonzero(flat >= 0)
+    at = at[idf[flat[at]] > 0]
+    if not len(at):
+        return
+    sums = np.zeros((base[-1], word_vectors.shape[1]), np.float32)
+    first = np.flatnonzero(np.diff(half[at], prepend=-1))
+    sums[half[at][first]] = np.add.reduceat(word_vectors[flat[at]], first, axis=0)
+    paired = np.append(owner[1:] == owner[:-1], False)
+    windows = np.flatnonzero(paired | (np.diff(base)[owner] == 1))
+    vectors = sums[windows] + np.where(paired[windows][:, None], sums[np.minimum(windows + 1, len(sums) - 1)], 0)
+    norm = np.linalg.norm(vectors, axis=1)
+    some = np.flatnonzero(norm > 1e-6)
+    windows, vectors = windows[some], vectors[some] / norm[some][:, None]
+    step = max(1, most // len(latent))
+    for k in range(0, len(windows), step):
+        r, i = np.nonzero(vectors[k : k + step] @ latent.T >= MIN_COSINE)
+        yield windows[k + r], i
+
+
+@dataclass
+class Postings:
+    """Items by their rarer words. An item of n words is a leak only where `need` of its word places are met in order, so of
+    its n - need + least rarest places `least` are met at least, whichever the others are."""
+
+    first: int
+    starts: np.ndarray
+    item: np.ndarray
+    places: np.ndarray
+    least: np.ndarray
+    reach: np.ndarray
+
+
+def item_postings(codes: list[np.ndarray], counts: np.ndarray, block: int = 1_000) -> list[Postings]:
+    out = []
+    for first in range(0, len(codes), block):
+        words, owners, places, least, reach = [], [], [], [], []
+        for i, c in enumerate(codes[first : first + block]):
+            need = needed(len(c))
+            least.append(max(1, need // 4))
+            reach.append(2 * -(-len(c) // HALF) + 2)  # halves that the surroundings of a window touch
+            w, n = np.unique(c[np.argsort(counts[c], kind="stable")][: len(c) - need + least[-1]], return_counts=True)
+            words.append(w)
+            places.append(n)
+            owners.append(np.full(len(w), i))
+        word, order = np.concatenate(words), np.argsort(np.concatenate(words), kind="stable")
+        starts = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(counts)))])
+        out.append(Postings(first, starts, np.concatenate(owners)[order], np.concatenate(places)[order], np.array(least), np.array(reach)))
+    return out
+
+
+def _near_by_words(flat, half, base, owner, postings: Postings) -> tuple[np.ndarray, np.ndarray]:
+    """(half, item): from that half on, an item's surroundings of a window hold enough of its rarer words. No leak is missed."""
+    at = np.flatnonzero(flat >= 0)
+    n = postings.starts[flat[at] + 1] - postings.starts[flat[at]]
+    at, n = at[n > 0], n[n > 0]
+    if not len(at):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    entry = np.repeat(postings.starts[flat[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    item = postings.item[entry].astype(np.int64)
+    key = item * base[-1] + np.repeat(half[at], n)
+    order = np.argsort(key)
+    key, held = key[order], np.concatenate([[0], np.cumsum(postings.places[entry][order])])
+    fresh = np.flatnonzero(np.diff(key, prepend=-1))
+    item, begin = key[fresh] // base[-1], key[fresh] % base[-1]
+    stop = np.searchsorted(key, item * base[-1] + np.minimum(begin + postings.reach[item], base[owner[begin] + 1]))
+    enough = np.flatnonzero(held[stop] - held[fresh] >= postings.least[item])
+    return begin[enough], item[enough] + postings.first
+
+
+def needed(n: int) -> int:
+    """Words in order that a leak of an item of n words has at least."""
+    return math.ceil(PARAPHRASE * n)
+
+
 def lcs(item: dict[int, int], full: int, text: np.ndarray) -> int:
     """Longest common subsequence by bits: item maps a word to the bits of its places, full has a bit a place."""
     free = full
@@ -225,32 +296,93 @@ def _places(codes: np.ndarray) -> tuple[dict[int, int], int]:
     return bits, (1 << len(codes)) - 1
 
 
+class _Checker:
+    """Longest common subsequences of one document's windows with items, each counted once."""
+
+    def __init__(self, items: Items, word_vectors: np.ndarray, latent: np.ndarray, first_passage: np.ndarray):
+        self.items, self.word_vectors, self.latent, self.first_passage = items, word_vectors, latent, first_passage
+        self.bits: dict[int, tuple] = {}
+
+    def item(self, i: int) -> tuple:
+        if i not in self.bits:
+            c = self.items.codes[i]
+            whole = _places(c)
+            self.bits[i] = whole, _places(c[-ANSWER_WORDS:]), {w: b.bit_count() for w, b in whole[0].items()}
+        return self.bits[i]
+
+    def met(self, i: int, near: np.ndarray) -> int:
+        """LCS of item and text, or 0 where the item's words in the text are too few."""
+        whole, _, places = self.item(i)
+        need, there = needed(len(self.items.codes[i])), set(near.tolist())
+        return 0 if sum(n for w, n in places.items() if w in there) < need else lcs(*whole, near)
+
+    def window(self, codes: np.ndarray, w: int, i: int) -> tuple[int, float, float, int] | None:
+        """(LCS, cosine, share of the answer, first word) if the surroundings of window w hold item i."""
+        n, start = len(self.items.codes[i]), w * HALF
+        near = codes[max(0, start - n) : start + 2 * HALF + n]
+        got = self.met(i, near)
+        if got < needed(n):
+            return None
+        answer = lcs(*self.item(i)[1], near) / min(n, ANSWER_WORDS)
+        if got < LEAK * n and answer < ANSWER:
+            return None
+        vector = unit_vectors([codes[start : start + 2 * HALF]], self.word_vectors)[0]
+        cosine = float((self.latent[self.first_passage[i] : self.first_passage[i + 1]] @ vector).max())
+        return got, cosine, answer, start
+
+    def best(self, codes: np.ndarray, i: int, windows: set[int], begins: list[int]) -> tuple[int, float, float, int] | None:
+        """The best of the windows that the space names and of those whose surroundings begin near `begins`."""
+        n, last = len(self.items.codes[i]), max(0, -(-len(codes) // HALF) - 2)
+        r, todo = -(-n // HALF), set(windows)
+        begins, at = sorted(set(begins)), 0
+        while at < len(begins):
+            low, x = max(0, begins[at] - r - 1), begins[at]
+            while at < len(begins) and begins[at] <= x + r:
+                high, at = min(last, begins[at] + r), at + 1
+            if self.met(i, codes[max(0, low * HALF - n) : (high + 2) * HALF + n]) >= needed(n):
+                todo.update(range(low, high + 1))
+        found = [x for w in sorted(todo) if (x := self.window(codes, w, i))]
+        return max(found, key=lambda x: x[:2], default=None)
+
+
 _SCHEMA = "doc_id long, item_id long, cosine double, lcs_words long, item_words long, answer_share double, word_start long"
 
 
-def _search(items: Items, idf: np.ndarray, basis: np.ndarray):
+def _search(spark, items: Items, idf: np.ndarray, counts: np.ndarray, basis: np.ndarray):
+    """Both ways to the candidates, by the space and by rarer words, and the check of each."""
+    v, word_vectors = len(idf), (basis * idf[:, None]).astype(np.float32)
+    cut, owner_of = passages(items.codes)
+    first_passage = np.searchsorted(owner_of, np.arange(len(items.codes) + 1))
+    shared = spark.sparkContext.broadcast((items.ids, items.codes, idf, word_vectors, unit_vectors(cut, word_vectors), owner_of, first_passage, item_postings(items.codes, counts)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = len(idf)
-        word_vectors, weight2 = (basis * idf[:, None]).astype(np.float32), idf**2
-        latent = tfidf_dense(items.codes, idf) @ basis
-        wholes, answers = [_places(c) for c in items.codes], [_places(c[-ANSWER_WORDS:]) for c in items.codes]
+        item_ids, item_codes, idf, word_vectors, latent, owner_of, first_passage, postings = shared.value
+        checker = _Checker(Items(item_ids, item_codes, None), word_vectors, latent, first_passage)
         for batch in batches:
             rows: dict[tuple[int, int], tuple] = {}
             ids, docs = batch.column(0).to_pylist(), _codes(batch.column(1), v)
-            for d, w, i, cosine in _candidates(docs, idf, word_vectors, weight2, latent):
-                n, start, codes = len(items.codes[i]), w * HALF, docs[d]
-                near = codes[max(0, start - n) : start + 2 * HALF + n]
-                got = lcs(*wholes[i], near)
-                if got < PARAPHRASE * n:
-                    continue
-                answer = lcs(*answers[i], near) / min(n, ANSWER_WORDS)
-                if (got >= LEAK * n or answer >= ANSWER) and (got, cosine) > rows.get((d, i), (0, 0.0))[:2]:
-                    rows[d, i] = (got, cosine, answer, start)
+            for start, flat, half, base, owner in _chunks(docs):
+                near: dict[tuple[int, int], tuple[set, list]] = {}
+                enough = []  # keys of document and item; elsewhere an item's words are too few for a leak
+                for at, item in (_near_by_words(flat, half, base, owner, p) for p in postings):
+                    enough.append(np.unique(owner[at] * len(item_ids) + item))
+                    for d, w, i in zip(owner[at].tolist(), (at - base[owner[at]]).tolist(), item.tolist(), strict=True):
+                        near.setdefault((d, i), (set(), []))[1].append(w)
+                enough = np.concatenate(enough)
+                for at, passage in _near_in_space(flat, half, base, owner, idf, word_vectors, latent):
+                    item = owner_of[passage]
+                    kept = np.isin(owner[at] * len(item_ids) + item, enough)
+                    at, item = at[kept], item[kept]
+                    for d, w, i in zip(owner[at].tolist(), (at - base[owner[at]]).tolist(), item.tolist(), strict=True):
+                        near[d, i][0].add(w)
+                for (d, i), (windows, begins) in near.items():
+                    if best := checker.best(docs[start + d], i, windows, begins):
+                        rows[start + d, i] = best
             if rows:
                 keys = sorted(rows)
                 yield pa.record_batch([
-                    pa.array([ids[d] for d, _ in keys], pa.int64()), pa.array([items.ids[i] for _, i in keys], pa.int64()), pa.array([rows[x][1] for x in keys]),
-                    pa.array([rows[x][0] for x in keys], pa.int64()), pa.array([len(items.codes[i]) for _, i in keys], pa.int64()),
+                    pa.array([ids[d] for d, _ in keys], pa.int64()), pa.array([item_ids[i] for _, i in keys], pa.int64()), pa.array([rows[x][1] for x in keys]),
+                    pa.array([rows[x][0] for x in keys], pa.int64()), pa.array([len(item_codes[i]) for _, i in keys], pa.int64()),
                     pa.array([rows[x][2] for x in keys]), pa.array([rows[x][3] for x in keys], pa.int64()),
                 ], ["doc_id", "item_id", "cosine", "lcs_words", "item_words", "answer_share", "word_start"])
 
@@ -279,7 +411,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         idf = word_weights(counts, n_docs)
         sample = encoded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCUMENTS)
         basis = latent_basis(materialize(sample, "fit"), some, idf)
-        one = encoded.mapInArrow(_search(some, idf, basis), _SCHEMA)
+        one = encoded.mapInArrow(_search(spark, some, idf, counts, basis), _SCHEMA)
         found = one if found is None else found.unionByName(one)
     return spark.createDataFrame([], _SCHEMA) if found is None else found
 

@@ -218,6 +218,40 @@ def test_leaks_and_paraphrases_are_found(spark):
     assert decontaminate.benchmark_leaks(df.limit(0), bench).collect() == [] and decontaminate.benchmark_leaks(df, bench.limit(0)).collect() == []
 
 
+def test_thousands_of_items_and_long_items_lose_no_leak(spark):
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 3))) for _ in range(4000)]
+    prose = lambda n: [vocabulary[min(int(rng.paretovariate(0.6)), 3999)] if rng.random() < 0.5 else rng.choice(vocabulary) for _ in range(n)]
+    items = [prose(rng.randint(20, 60)) for _ in range(3000)] + [prose(n) for n in (1000, 1500)] + [[vocabulary[1]] * 6 + [vocabulary[2]] * 6]
+    texts = []
+    for i in range(60):
+        w, k = prose(rng.randint(0, 300)), 2997 + i if i < 6 else rng.randrange(3000)
+        leak = [x if j % 5 or i % 2 else rng.choice(vocabulary) for j, x in enumerate(items[k])]
+        at = rng.randint(0, len(w))
+        texts.append(w[:at] + leak + w[at:])
+    want = set()
+    for d, text in enumerate(texts):
+        there = set(text)
+        for i, item in enumerate(items):
+            n = len(item)
+            if sum(x in there for x in item) < n / 2:
+                continue
+            for start in range(0, max(1, -(-len(text) // decontaminate.HALF) - 1) * decontaminate.HALF, decontaminate.HALF):
+                near = text[max(0, start - n) : start + 2 * decontaminate.HALF + n]
+                got = decontaminate.lcs(*_bits(item), np.array([hash(x) for x in near]))
+                tail = item[-decontaminate.ANSWER_WORDS :]
+                if got >= decontaminate.LEAK * n or got >= decontaminate.PARAPHRASE * n and decontaminate.lcs(*_bits(tail), np.array([hash(x) for x in near])) >= decontaminate.ANSWER * len(tail):
+                    want.add((d, i))
+                    break
+    df, bench = (spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], f"{k} long, text string") for k, rows in (("doc_id", texts), ("item_id", items)))
+    got = decontaminate.benchmark_leaks(df, bench).collect()
+    assert len(want) >= 60 and {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+
+
+def _bits(words):
+    return decontaminate._places(np.array([hash(x) for x in words]))
+
+
 # ---- toxicity ----
 def labelled(rng, n):
     rows, labels = [], []
