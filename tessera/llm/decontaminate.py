@@ -4,8 +4,8 @@ Documents are read as windows of words over the benchmark's vocabulary. A random
 latent space; windows whose cosine there with a passage of a benchmark item is high are candidates, and so are the
 surroundings that hold enough of an item's rarer words to be a leak, which leaves none out. Each candidate is checked by
 the longest common subsequence of words with the item, and by the item's closing words (its answer) where the rest is
-only a paraphrase. Inverse document frequencies count all documents; the space is fitted on the items and a bounded
-sample of documents; every window of every document is searched.
+only a paraphrase. Inverse document frequencies count all documents; the space is fitted on the items and on every
+window of every document, and all are searched.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ from tessera.llm._shared import materialize, small
 #: Words in half a window; windows of two halves start at each half.
 HALF = 24
 RANK, OVERSAMPLE, POWER_STEPS = 128, 16, 2
-#: Documents that the latent space is fitted on, beside all items: those smallest by a hash of the id. The items weigh
-#: ITEM_SHARE times as much as the windows of these documents, so that the space tells items apart.
-FIT_DOCUMENTS, ITEM_SHARE = 500, 4.0
+#: The latent space is fitted on the windows of all documents and on the items' passages, which weigh ITEM_SHARE times as
+#: much as all windows, so that the space tells items apart.
+ITEM_SHARE = 4.0
 #: Words of less inverse document frequency are stop words; the rest weigh it to this power.
 STOP_IDF, IDF_POWER = 1.0, 1.5
 #: Items that one pass searches for; more take more passes. It bounds the vocabulary that is broadcast.
@@ -115,60 +115,101 @@ def word_weights(counts: np.ndarray, n_docs: int) -> np.ndarray:
     return np.where(idf < STOP_IDF, 0, np.maximum(idf, 0) ** IDF_POWER).astype(np.float32)
 
 
-def window_rows(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(window, word) pairs of one document's windows, words outside the vocabulary left out."""
-    at = np.flatnonzero(codes >= 0)
-    half = at // HALF
-    last = max(0, (len(codes) - 1) // HALF - 1)  # the last window that starts a pair of halves
-    rows = np.concatenate([np.minimum(half, last), half[half > 0] - 1])
-    words = np.concatenate([codes[at], codes[at[half > 0]]])
-    keep = np.concatenate([half <= last, np.ones(int((half > 0).sum()), bool)]) if len(at) else np.empty(0, bool)
-    return rows[keep], words[keep]
+@dataclass
+class Sparse:
+    """Rows of unit length over words: entries sorted by row, each row's first entry in `first`; rows without entries left out."""
+
+    word: np.ndarray
+    value: np.ndarray
+    first: np.ndarray
+
+    def gram(self, basis: np.ndarray, total: np.ndarray, most: int = 100_000) -> None:
+        """Adds the product of these rows' transpose, these rows and the basis to total, some entries at a time."""
+        ends = np.append(self.first[1:], len(self.word))
+        row = 0
+        while row < len(self.first):
+            stop = max(row + 1, int(np.searchsorted(ends, self.first[row] + most, "right")))
+            e = slice(self.first[row], ends[stop - 1])
+            x = self.value[e, None]
+            y = np.add.reduceat(x * basis[self.word[e]], self.first[row:stop] - e.start, axis=0)
+            back = np.argsort(self.word[e], kind="stable")
+            word = self.word[e][back]
+            begin = np.flatnonzero(np.diff(word, prepend=-1))
+            of = np.repeat(np.arange(stop - row), ends[row:stop] - self.first[row:stop])
+            total[word[begin]] += np.add.reduceat(x[back] * y[of[back]], begin, axis=0)
+            row = stop
+
+
+def tfidf(rows: np.ndarray, words: np.ndarray, idf: np.ndarray) -> Sparse:
+    kept = (words >= 0) & (idf[words] > 0)
+    key, tf = np.unique(rows[kept].astype(np.int64) * len(idf) + words[kept], return_counts=True)
+    row, word = key // len(idf), key % len(idf)
+    first, value = np.flatnonzero(np.diff(row, prepend=-1)), tf * idf[word]
+    if len(key):
+        norm = np.sqrt(np.add.reduceat(value.astype(np.float64) ** 2, first))
+        value = value / np.repeat(norm, np.diff(first, append=len(key)))
+    return Sparse(word, value.astype(np.float32), first)
+
+
+def _sum_by_word(parts: DataFrame, v: int, width: int) -> np.ndarray:
+    """Partial rows (word, part) of all tasks added up by Spark, a share of the words a task; v x width numbers reach the driver."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for word, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if word in sums:
+                    sums[word] += np.frombuffer(part, np.float32)
+                else:
+                    sums[word] = np.frombuffer(part, np.float32).astype(np.float64)
+        words = sorted(sums)
+        yield pa.record_batch([pa.array(words, pa.int32()), pa.array([sums[w].astype(np.float32).tobytes() for w in words], pa.binary())], ["word", "part"])
 
-def tfidf_dense(codes: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(codes), len(idf)), np.float32)
-    for r, c in enumerate(codes):
-        np.add.at(out[r], c[c >= 0], idf[c[c >= 0]])
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    total = np.zeros((v, width), np.float32)
+    for word, part in parts.repartition("word").mapInArrow(run, "word int, part binary").toLocalIterator():
+        total[word] = np.frombuffer(part, np.float32)
+    return total
 
 
-def latent_basis(fitted_on: DataFrame, items: Items, idf: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Words x rank: right singular vectors of the TF-IDF windows of the fitting sample and of the items.
+def latent_basis(encoded: DataFrame, items: Items, idf: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Words x rank: right singular vectors of the TF-IDF windows of all documents and of the items' passages.
 
-    Randomised subspace iteration: each step, tasks multiply their windows by the current basis and back, and send one
-    words x (rank + oversample) matrix each; the driver adds the items' part and orthonormalises.
+    Randomised subspace iteration: in each step tasks multiply their windows by the current basis and back, Spark adds their
+    rows up by word, and the driver adds the items' part and orthonormalises.
     """
     v, width = len(idf), min(len(idf), RANK + OVERSAMPLE)
-    own = tfidf_dense(items.codes, idf)
+    cut, _ = passages(items.codes)
+    own = tfidf(np.repeat(np.arange(len(cut)), [len(c) for c in cut]), np.concatenate(cut), idf)
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((v, width)))[0].astype(np.float32)
     for _ in range(POWER_STEPS + 1):
-        shared = fitted_on.sparkSession.sparkContext.broadcast(basis)
+        shared = encoded.sparkSession.sparkContext.broadcast((basis, idf))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q, total, n_windows = shared.value, np.zeros((v, width), np.float32), 0
+            basis, idf = shared.value
+            total, n_windows = np.zeros((v, width), np.float32), 0
             for batch in batches:
-                for c in _codes(batch.column(0), v):
-                    rows, words = window_rows(c)
-                    rows, words = rows[idf[words] > 0], words[idf[words] > 0]
-                    if not len(rows):
-                        continue
-                    n = int(rows.max()) + 1
-                    n_windows += n
-                    key, tf = np.unique(rows.astype(np.int64) * v + words, return_counts=True)
-                    r, w = key // v, key % v
-                    x = tf * idf[w]
-                    x /= np.maximum(np.sqrt(np.bincount(r, x * x, n)), 1e-12)[r]
-                    y = np.zeros((n, width), np.float32)
-                    np.add.at(y, r, x[:, None].astype(np.float32) * q[w])
-                    np.add.at(total, w, x[:, None].astype(np.float32) * y[r])
-            yield pa.record_batch([pa.array([total.tobytes()], pa.binary()), pa.array([n_windows], pa.int64())], ["part", "n"])
-
-        total, n_windows = np.zeros((v, width), np.float32), 0
-        for part, n in fitted_on.select("codes").mapInArrow(run, "part binary, n long").toLocalIterator():
-            total += np.frombuffer(part, np.float32).reshape(v, width)
-            n_windows += n
-        total += max(1.0, ITEM_SHARE * n_windows / len(own)) * (own.T @ (own @ basis))
+                for _, flat, half, base, owner in _chunks(_codes(batch.column(0), v), 100_000):
+                    at = np.flatnonzero(flat >= 0)
+                    at = at[idf[flat[at]] > 0]
+                    paired = np.append(owner[1:] == owner[:-1], False)
+                    starts = paired | (np.diff(base)[owner] == 1)
+                    here, before = at[starts[half[at]]], at[(half[at] > 0) & paired[half[at] - 1]]
+                    rows = tfidf(np.concatenate([half[here], half[before] - 1]), np.concatenate([flat[here], flat[before]]), idf)
+                    n_windows += len(rows.first)
+                    rows.gram(basis, total)
+            words = np.flatnonzero(total.any(axis=1))
+            for k in range(0, len(words), 1_000):
+                some = words[k : k + 1_000]
+                yield pa.record_batch([pa.array(some, pa.int32()), pa.array([total[w].tobytes() for w in some], pa.binary())], ["word", "part"])
+            count = np.zeros(width, np.float32)
+            count[0] = n_windows
+            yield pa.record_batch([pa.array([v], pa.int32()), pa.array([count.tobytes()], pa.binary())], ["word", "part"])
+
+        total = _sum_by_word(encoded.select("codes").mapInArrow(run, "word int, part binary"), v + 1, width)
+        n_windows, total = float(total[v, 0]), total[:v]
+        part = np.zeros_like(total)
+        own.gram(basis, part)
+        total += max(1.0, ITEM_SHARE * n_windows / max(1, len(own.first))) * part
         basis = np.linalg.svd(total, full_matrices=False)[0].astype(np.float32)
     return basis[:, :RANK]
 
@@ -409,8 +450,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         encoded = materialize(encode_documents(own, some.vocabulary), "codes")
         counts, n_docs = document_frequencies(encoded, len(some.vocabulary))
         idf = word_weights(counts, n_docs)
-        sample = encoded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCUMENTS)
-        basis = latent_basis(materialize(sample, "fit"), some, idf)
+        basis = latent_basis(encoded, some, idf)
         one = encoded.mapInArrow(_search(spark, some, idf, counts, basis), _SCHEMA)
         found = one if found is None else found.unionByName(one)
     return spark.createDataFrame([], _SCHEMA) if found is None else found

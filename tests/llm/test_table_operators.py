@@ -248,6 +248,27 @@ def test_thousands_of_items_and_long_items_lose_no_leak(spark):
     assert len(want) >= 60 and {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
 
 
+def test_latent_space_is_that_of_all_windows(spark):
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(-1, 300, rng.integers(0, 200)).astype("<i2") for _ in range(1200)]  # more than any sample of 500
+    docs = [np.where(c < 0, c, c % 30 + 30 * (k // 120)).astype("<i2") for k, c in enumerate(docs)]  # each 120th has words of its own
+    items = decontaminate.Items([0], [np.arange(0, 300, 7)], None)
+    idf = np.linspace(1, 2, 300).astype(np.float32)
+    encoded = spark.createDataFrame([(i, c.tobytes()) for i, c in enumerate(docs)], "doc_id long, codes binary").repartition(5)
+    h, rows = decontaminate.HALF, []
+    for c in docs:
+        for w in range(max(1, -(-len(c) // h) - 1)):
+            own = c[w * h : (w + 2) * h]
+            rows.append(np.bincount(own[own >= 0], minlength=300) * idf)
+    x = np.array([r / np.linalg.norm(r) for r in rows if r.any()])
+    y = np.bincount(items.codes[0][: 2 * h], minlength=300) * idf
+    gram = x.T @ x + decontaminate.ITEM_SHARE * len(x) * np.outer(y, y) / (y @ y)
+    best = np.linalg.eigvalsh(gram)[::-1][: decontaminate.RANK].sum()
+    basis = decontaminate.latent_basis(encoded, items, idf)
+    assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-3)
+    assert np.trace(basis.T @ gram @ basis) > 0.99 * best
+
+
 def _bits(words):
     return decontaminate._places(np.array([hash(x) for x in words]))
 
