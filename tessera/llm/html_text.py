@@ -1,8 +1,8 @@
 """Main text of web pages by removal of site templates.
 
 Every page is cut into text blocks, each with the hashes of the element subtrees around it. Spark counts each subtree
-over the distinct pages of its host; where a page doesn't mark its article, subtrees that many pages of the host share
-are the template and go. Marked articles keep whatever they hold but menus, forms, asides and the like.
+over the distinct pages of its host and of its host's section; subtrees that many of these pages share are the template
+and go, inside marked articles too. Menus, forms, asides and the like go besides.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import materialize
+from tessera.llm._shared import BROADCAST_ROWS, materialize, small
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S)
 _ATTR = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -58,10 +58,11 @@ def _is_furniture(tag: str, attrs: str, in_article: bool) -> bool:
     return bool(words & (IN_ARTICLE if in_article else FURNITURE)) or found.get("role") in ROLES or "hidden" in found
 
 
-def page_blocks(source: str) -> tuple[list[str], list[tuple[str, list[int]]], list[int]]:
-    """(blocks of marked articles, (block, subtree hashes around it) of the rest, hashes of the rest's subtrees).
+def page_blocks(source: str) -> tuple[list[tuple[str, list[int]]], list[tuple[str, list[int]]], list[int]]:
+    """((block, subtree hashes around it) of marked articles, the same of the rest, hashes of all subtrees).
 
-    Furniture is left out of both lists of blocks, but its subtrees are hashed. Blocks are in page order.
+    Furniture is left out of both lists of blocks, but its subtrees are hashed. The outermost article or main isn't
+    around its own blocks. Blocks are in page order.
     """
     stack: list[_Open] = []
     done: list[int | None] = []  # hash by element, once closed
@@ -77,11 +78,11 @@ def page_blocks(source: str) -> tuple[list[str], list[tuple[str, list[int]]], li
                 e.parts.append(block)
             if top is None or not top.dropped:
                 if top is not None and top.article:
-                    article.append((block, True))
+                    article.append((block, True, [e.id for e in stack if e.article or e.main][1:]))
                 else:
                     plain.append((block, [e.id for e in stack if e.tag not in ("html", "body")]))
                     if top is not None and top.main:
-                        article.append((block, False))
+                        article.append((block, False, [e.id for e in stack if e.article or e.main][1:]))
 
     def close() -> None:
         e = stack.pop()
@@ -150,15 +151,13 @@ def page_blocks(source: str) -> tuple[list[str], list[tuple[str, list[int]]], li
     flush()
     while stack:
         close()
-    if n_articles:
-        chosen = [b for b, own in article if own]
-    else:
-        chosen = [b for b, _ in article]
+    chosen = [(b, [done[i] for i in ids]) for b, own, ids in article if own or not n_articles]
     hashes = sorted({h for h in done if h is not None})
     return chosen, [(b, [done[i] for i in ids]) for b, ids in plain], hashes
 
 
-_SCHEMA = "row long, page_id long, url string, host string, copy long, marked boolean, text string, blocks array<struct<text:string,around:array<long>>>, subtrees array<long>"
+_SCHEMA = "row long, page_id long, url string, host string, copy long, marked boolean, blocks array<struct<text:string,around:array<long>>>, subtrees array<long>"
+_SECTION = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)/"
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)"
 
 
@@ -169,34 +168,42 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for source in batch.column(4).to_pylist():
             chosen, plain, hashes = page_blocks(source or "")
             marked = bool(chosen)
-            rows.append((xxhash.xxh3_64_intdigest(source or "") - 2**63, marked, "\n".join(chosen), None if marked else [{"text": b, "around": a} for b, a in plain], hashes))
-        copy, marked, text, blocks, subtrees = zip(*rows, strict=True) if rows else ((),) * 5
+            rows.append((xxhash.xxh3_64_intdigest(source or "") - 2**63, marked, [{"text": b, "around": a} for b, a in (chosen if marked else plain)], hashes))
+        copy, marked, blocks, subtrees = zip(*rows, strict=True) if rows else ((),) * 4
         yield pa.record_batch(
-            [*(batch.column(i) for i in range(4)), pa.array(copy, pa.int64()), pa.array(marked, pa.bool_()), pa.array(text, pa.string()), pa.array(blocks, blocks_type), pa.array(subtrees, pa.list_(pa.int64()))],
-            ["row", "page_id", "url", "host", "copy", "marked", "text", "blocks", "subtrees"],
+            [*(batch.column(i) for i in range(4)), pa.array(copy, pa.int64()), pa.array(marked, pa.bool_()), pa.array(blocks, blocks_type), pa.array(subtrees, pa.list_(pa.int64()))],
+            ["row", "page_id", "url", "host", "copy", "marked", "blocks", "subtrees"],
         )
 
 
 def main_text(pages: DataFrame, min_pages: int = 5, min_share: float = 0.3) -> DataFrame:
     """(page_id, url, text, n_chars), a row per row of pages.
 
-    A subtree is template where at least min_pages distinct pages of its host, and min_share of them, hold it; equal pages
-    count once. A null or empty html gives an empty text; a null url or one without a host counts under the empty host;
+    A subtree is template where at least min_pages distinct pages of its host, or of the section of the host that the first
+    folder of the url names, and min_share of them, hold it; equal pages count once. A marked article of nothing but
+    template keeps its text, so one that many pages carry isn't lost. A null or empty html gives an empty text; a null url or one without a host counts under the empty host;
     null ids stay null, repeated rows are repeated, other columns aren't read. Subtrees are counted with partial sums, so
     a host with a third of all pages takes no single task.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", _HOST, 1)), F.lit(""))
     own = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long"), "url", host.alias("host"), "html")
     parsed = materialize(own.mapInArrow(_parse, _SCHEMA), "pages")
-    finished = parsed.where("marked").select("page_id", "url", "text")
-
-    open_pages = parsed.where("not marked")
-    open_hosts = open_pages.select("host").distinct()  # only their subtrees can matter
-    seen = parsed.join(open_hosts, "host", "left_semi").select("host", "copy", "subtrees").dropDuplicates(["host", "copy"])
-    sizes = seen.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
-    counts = seen.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n"))
-    template = counts.where(F.col("n") >= min_pages).join(sizes, "host").where(F.col("n") >= min_share * F.col("n_pages")).select("host", "subtree")
-    gone = open_pages.select("row", "host", F.explode("subtrees").alias("subtree")).join(template, ["host", "subtree"]).groupBy("row").agg(F.collect_set("subtree").alias("gone"))
-    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], F.coalesce("gone", F.array().cast("array<bigint>"))))
-    opened = open_pages.select("row", "page_id", "url", "blocks").join(gone, "row", "left").select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
-    return finished.unionByName(opened).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    section = F.regexp_extract("url", _SECTION, 1)
+    sites = F.when(section != "", F.array("host", F.concat("host", F.lit("/"), section))).otherwise(F.array("host"))
+    placed = parsed.withColumn("sites", F.coalesce(sites, F.array("host")))
+    seen = placed.select("copy", F.explode("sites").alias("site"), "subtrees").dropDuplicates(["site", "copy"])
+    sizes = seen.groupBy("site").agg(F.count(F.lit(1)).alias("n_pages"))
+    counts = seen.select("site", F.explode("subtrees").alias("subtree")).groupBy("site", "subtree").agg(F.count(F.lit(1)).alias("n"))
+    sizes = small(materialize(sizes, "sizes"))
+    template = materialize(counts.where(F.col("n") >= min_pages).join(sizes, "site").where(F.col("n") >= min_share * F.col("n_pages")).select("site", "subtree"), "template")
+    lists = template.groupBy("site").agg(F.collect_set("subtree").alias("gone"))
+    if template.count() <= BROADCAST_ROWS:
+        lists = F.broadcast(lists)
+    cut = placed.select("page_id", "url", "marked", "blocks", F.get("sites", F.lit(0)).alias("whole"), F.get("sites", F.lit(1)).alias("part"))
+    for site in ("whole", "part"):
+        cut = cut.join(lists.select(F.col("site").alias(site), F.col("gone").alias(f"{site}_gone")), site, "left")
+    none = F.array().cast("array<bigint>")
+    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], F.coalesce("whole_gone", none)) & ~F.arrays_overlap(b["around"], F.coalesce("part_gone", none)))
+    cut = cut.withColumn("kept", kept)
+    left = F.when(F.col("marked") & (F.size("kept") == 0), F.col("blocks")).otherwise(F.col("kept"))
+    return cut.select("page_id", "url", F.array_join(F.transform(left, lambda b: b["text"]), "\n").alias("text")).select("*", F.char_length("text").cast("long").alias("n_chars"))

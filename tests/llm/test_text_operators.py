@@ -128,3 +128,13 @@ def test_templates_go_where_no_article_is_marked(spark):
     got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[0] == "Story number 0.\nShared by most" and got[9] == "Story number 9.\nShared by 9"
     assert got[100] == "Site news\nAbout\nStory number 0.\nShared by most\nImprint"  # copies of one page are no template
+
+
+def test_templates_go_inside_marked_articles_and_by_section(spark):
+    page = lambda i, note: f"<body><article><h1>Title {i}</h1><p>Story number {i}.</p><div><p>{note}</p></div></article></body>"
+    rows = [(i, f"https://a.example/x/{i}", page(i, "Read more of our stories")) for i in range(6)]
+    rows += [(100 + i, f"https://a.example/y/{i}", page(i, f"Note {i}")) for i in range(60)]  # one section of a large host
+    rows += [(200 + i, f"https://b.example/{i}", f"<body><p>{i}</p><article><p>The same article</p></article></body>") for i in range(6)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\nStory number {i}." for i in range(6))
+    assert got[107] == "Title 7\nStory number 7.\nNote 7" and got[203] == "The same article" and len(got) == 72
