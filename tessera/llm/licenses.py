@@ -1,13 +1,16 @@
-"""Licence scan by canonical digest: whole texts, and each line as a text of its own, joined to known digests.
+"""Licence scan by canonical digest: whole texts, each line and each run of paragraphs as a text of its own, joined to known digests.
 
-canonical() is column functions only, so the scan stays in the JVM; canonical_sql() is the same in SQL.
+canonical() is column functions only; canonical_sql() is the same in SQL. Runs of paragraphs are cut in Python, by the
+lengths of the known texts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +80,27 @@ TEXTS = [
 ]
 
 
+# The headings that these texts usually carry.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT License (Expat)", "Expat License"],
+    "MIT-0": ["MIT No Attribution", "MIT No Attribution License", "MIT-0", "MIT-0 License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "0BSD", "BSD Zero Clause License (0BSD)"],
+    "Zlib": ["zlib License", "The zlib License", "The zlib/libpng License", "zlib/libpng License", "zlib License (Zlib)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "The 2-Clause BSD License", "FreeBSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "Revised BSD License", "Modified BSD License", "The 3-Clause BSD License"],
+}
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(SPDX id, text) of the short licences, numbered or with bullets, without and with their titles."""
+    out = []
+    for spdx, text in TEXTS:
+        for body in dict.fromkeys([text, re.sub(r"(?<= )[1-3]\. ", "", text)]):
+            out += [(spdx, body), *((spdx, f"{title}\n{body}") for title in TITLES[spdx])]
+    return out
+
+
 def notices() -> list[tuple[str, str]]:
     """(SPDX id, one-line notice) for the families whose notices name an id and a version."""
     named = [("MIT", "MIT License", [""]), ("ISC", "ISC License", [""]), ("Zlib", "zlib License", [""]), ("Apache", "Apache License", ["2.0", "1.1"]),
@@ -121,28 +145,68 @@ def canonical_py(text: str) -> str:
 
 def known_digests() -> list[tuple[str, str]]:
     """(SHA-256 of the canonical text, SPDX id), a few hundred rows whatever the input."""
-    return sorted({hashlib.sha256(canonical_py(t).encode()).hexdigest(): k for k, t in [*TEXTS, *notices()]}.items())
+    return sorted({hashlib.sha256(canonical_py(t).encode()).hexdigest(): k for k, t in [*full_texts(), *notices()]}.items())
 
 
 #: Every known canonical text holds one of these after lower-casing, so other lines can't match.
 HINTS = "licen|permission|redistribution|released|distributed"
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, license_id, scope, n_units): which known licences a document is (scope document) or has as lines (scope line).
+#: What parts paragraphs: one or more lines without letters and digits, those of comment signs too.
+PARAGRAPHS = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
+
+
+def _runs(lengths: list[int]):
+    """(doc_id, digest) of the runs of paragraphs, all but the whole text, that are as long as a known text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, digests = [], []
+            for doc, paragraphs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                whole, starts, end = " ".join(paragraphs), [], 0
+                for p in paragraphs:
+                    starts.append(end)
+                    end += len(p) + 1
+                ends = {s - 1 for s in starts[1:]} | {end - 1}
+                for s in starts:
+                    for n in lengths:
+                        if s + n in ends and n < len(whole):
+                            ids.append(doc)
+                            digests.append(hashlib.sha256(whole[s : s + n].encode()).hexdigest())
+            yield pa.record_batch([pa.array(ids, batch.schema.field(0).type), pa.array(digests, pa.string())], ["doc_id", "digest"])
+
+    return run
+
+
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known_texts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, license_id, scope, n_units): which known licences a document is (scope document), has as lines (scope line),
+    or has as paragraphs next to each other, wrapped or not, but not as the whole text (scope paragraphs; full texts only).
 
-    Null or empty texts match nothing; a null id is kept as null and shares one row per licence with other null ids.
-    Repeated rows add up in n_units. Texts are matched whole, at any length; other columns are not read.
+    known_texts (license_id, text) adds to the texts known here. Null or empty texts match nothing; a null id is kept as null
+    and shares one row per licence with other null ids. Repeated rows add up in n_units. Texts are matched whole, at any
+    length; other columns are not read.
     """
     spark = docs.sparkSession
     rows = ", ".join(f"('{d}', '{k}')" for d, k in known_digests())
-    known = F.broadcast(spark.sql(f"SELECT * FROM VALUES {rows} AS known(digest, license_id)"))
-    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where(F.translate("text", UPPER, LOWER).rlike(HINTS))
+    known = spark.sql(f"SELECT * FROM VALUES {rows} AS known(digest, license_id)")
+    lengths = {len(canonical_py(t)) for _, t in full_texts()}
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    hinted = lambda x: F.translate(x, UPPER, LOWER).rlike(HINTS)
+    if known_texts is not None:
+        more = known_texts.select("license_id", canonical(F.col("text")).alias("own")).where("own <> ''").distinct()
+        lengths |= {r[0] for r in more.select(F.char_length("own")).distinct().collect()}
+        known = known.unionByName(more.select(F.sha2("own", 256).alias("digest"), "license_id")).distinct()
+        hinted = lambda x: x.isNotNull()
+    known, own = F.broadcast(known), own.where(hinted(F.col("text")))
     units = own.select("doc_id", F.explode(F.array(
         F.struct(F.lit("document").alias("scope"), F.array("text").alias("texts")),
-        F.struct(F.lit("line").alias("scope"), F.filter(F.split("text", "\n"), lambda x: F.translate(x, UPPER, LOWER).rlike(HINTS)).alias("texts")),
+        F.struct(F.lit("line").alias("scope"), F.filter(F.split("text", "\n"), hinted).alias("texts")),
     )).alias("u")).select("doc_id", "u.scope", F.explode("u.texts").alias("unit"))
-    hit = units.select("doc_id", "scope", F.sha2(canonical(F.col("unit")), 256).alias("digest")).join(known, "digest")
+    parts = F.filter(F.transform(F.split(F.regexp_replace("text", "\r", ""), PARAGRAPHS), canonical), lambda x: x != "")
+    long_enough = own.where(F.char_length("text") > min(lengths)).select("doc_id", parts.alias("parts")).where(F.size("parts") > 1)
+    kind = own.schema["doc_id"].dataType.simpleString()
+    runs = long_enough.mapInArrow(_runs(sorted(lengths)), f"doc_id {kind}, digest string").select("doc_id", F.lit("paragraphs").alias("scope"), "digest")
+    hit = units.select("doc_id", "scope", F.sha2(canonical(F.col("unit")), 256).alias("digest")).unionByName(runs).join(known, "digest")
     return hit.groupBy("doc_id", "license_id", "scope").agg(F.count(F.lit(1)).alias("n_units"))
 
 

@@ -138,3 +138,14 @@ def test_templates_go_inside_marked_articles_and_by_section(spark):
     got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Title {i}\nStory number {i}." for i in range(6))
     assert got[107] == "Title 7\nStory number 7.\nNote 7" and got[203] == "The same article" and len(got) == 72
+
+
+def test_licence_files_with_titles_and_licences_before_code(spark):
+    wrap = lambda t: re.sub(r"(.{50,70}) ", r"\1\n", t)
+    text = dict(licenses.TEXTS)
+    rows = [(i, f"{licenses.TITLES[k][0]}\n\nCopyright (c) 2020, A. Person\nAll rights reserved.\n\n{wrap(t)}\n") for i, (k, t) in enumerate(licenses.TEXTS)]
+    header = wrap(text["BSD-3-Clause"].replace(" 2. ", "\n\n2. ").replace(" THIS SOFTWARE IS", "\n\nTHIS SOFTWARE IS", 1))
+    rows += [(50, f"def f():\n    pass\n\n{header}\n\nimport os\n"), (51, f"Intro.\n\n{header} More words.\n\nBye"), (52, "A\n\nSome house rules\nof ours.\n\nB")]
+    house = spark.createDataFrame([("House", "Some house rules of ours")], "license_id string, text string")
+    got = {(r.doc_id, r.license_id, r.scope, r.n_units) for r in licenses.license_scan(docs(spark, rows), known_texts=house).collect()}
+    assert got == {(i, k, "document", 1) for i, (k, _) in enumerate(licenses.TEXTS)} | {(i, k, "paragraphs", 1) for i, (k, _) in enumerate(licenses.TEXTS)} | {(50, "BSD-3-Clause", "paragraphs", 1), (52, "House", "paragraphs", 1)}
