@@ -23,11 +23,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Law rows. A null text weighs nothing and has the CRC of no bytes."""
+    """Law rows, of documents dealt with their texts. A null text weighs nothing and has the CRC of no bytes."""
+    shards = sharding.hypergeometric_shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"), N_SHARDS)
     own = F.coalesce("text", F.lit(""))
-    sized = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(own) + 8).cast("long").alias("size"), F.crc32(F.encode(own, "utf-8")).alias("text_crc32"))
-    shards = sharding.hypergeometric_shuffle(sized, N_SHARDS)
-    return shards.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size, crc = (F.octet_length(own) + 8).cast("long").alias("size"), F.crc32(F.encode(own, "utf-8")).alias("text_crc32")
+    return shards.select("doc_id", size, crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op3_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

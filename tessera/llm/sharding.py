@@ -83,7 +83,7 @@ def hypergeometric_shuffle(df: DataFrame, n_shards: int, seed: int = 0, bucket_r
     kept = [f"`{c}`" for c in df.columns if c.lower() not in own]
     most_cells = max(1, min(4096, MATRIX_CELLS // n_shards))
     placed = df.select(*kept, F.pmod(F.spark_partition_id(), F.lit(most_cells)).alias("_cell"), F.monotonically_increasing_id().alias("_row"))
-    placed = materialize(placed, "shuffle")
+    placed = materialize(placed, "shuffle", "zstd")
     found = sorted((r[0], r[1]) for r in placed.groupBy("_cell").count().collect())  # most_cells rows at most
     n = sum(c for _, c in found)
     sizes = [n // n_shards + (s < n % n_shards) for s in range(n_shards)]

@@ -117,3 +117,9 @@ def decontaminate_words(text):
     import re
 
     return re.findall(r"[^\W_]+", text.lower())
+
+
+def test_texts_are_dealt_to_shards(spark):
+    plan = queries.op2_sharding(spark, DATA)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    moved = [x for x in plan.split("\n\n") if ") Exchange\n" in x and " text#" in x]
+    assert len(moved) >= 2  # to the cells and to the buckets of the shards
