@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm._shared import materialize, small
 
+U64 = np.uint64
+
 #: Words in half a window; windows of two halves start at each half.
 HALF = 24
 RANK, OVERSAMPLE, POWER_STEPS = 128, 16, 2
@@ -39,13 +41,19 @@ MIN_COSINE, LEAK, PARAPHRASE, ANSWER, ANSWER_WORDS = 0.25, 0.75, 0.5, 0.85, 8
 
 def word_lists(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """(offsets, words): lower-case runs of letters and digits of each text; nulls have none."""
-    spaced = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}\p{N}]+", " ")
-    lists = pc.ascii_split_whitespace(spaced)
+    low = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}\p{N}\x00-\x7f]+", " ")
+    _, ends, raw = low.buffers()
+    spaced = pa.py_buffer(_SPACED[np.frombuffer(raw, np.uint8)] if raw else b"")
+    lists = pc.ascii_split_whitespace(pa.Array.from_buffers(low.type, len(low), [None, ends, spaced], offset=low.offset))
     flat, ends = lists.flatten(), np.asarray(lists.offsets)
     filled = pc.greater(pc.binary_length(flat), 0)
     return np.concatenate([[0], np.cumsum(np.asarray(filled))])[ends - ends[0]], flat.filter(filled)
 
 
+#: ASCII letters and digits, and all bytes of other characters, as they are; other ASCII bytes are spaces.
+_SPACED = np.array([b if b > 127 or chr(b).isalnum() else 32 for b in range(256)], np.uint8)
+
+
 @dataclass
 class Items:
     """Benchmark items as word codes."""
@@ -116,39 +124,85 @@ def word_weights(counts: np.ndarray, n_docs: int) -> np.ndarray:
 
 
 @dataclass
-class Sparse:
-    """Rows of unit length over words: entries sorted by row, each row's first entry in `first`; rows without entries left out."""
+class Stretch:
+    """Documents, or long pieces of them, as halves of windows: the words in order, and for each half its document, its number
+    there, the begin and end of its piece, whether the next half goes on with it, and whether a window starts at it."""
 
     word: np.ndarray
-    value: np.ndarray
-    first: np.ndarray
-
-    def gram(self, basis: np.ndarray, total: np.ndarray, most: int = 100_000) -> None:
-        """Adds the product of these rows' transpose, these rows and the basis to total, some entries at a time."""
-        ends = np.append(self.first[1:], len(self.word))
-        row = 0
-        while row < len(self.first):
-            stop = max(row + 1, int(np.searchsorted(ends, self.first[row] + most, "right")))
-            e = slice(self.first[row], ends[stop - 1])
-            x = self.value[e, None]
-            y = np.add.reduceat(x * basis[self.word[e]], self.first[row:stop] - e.start, axis=0)
-            back = np.argsort(self.word[e], kind="stable")
-            word = self.word[e][back]
-            begin = np.flatnonzero(np.diff(word, prepend=-1))
-            of = np.repeat(np.arange(stop - row), ends[row:stop] - self.first[row:stop])
-            total[word[begin]] += np.add.reduceat(x[back] * y[of[back]], begin, axis=0)
-            row = stop
-
-
-def tfidf(rows: np.ndarray, words: np.ndarray, idf: np.ndarray) -> Sparse:
-    kept = (words >= 0) & (idf[words] > 0)
-    key, tf = np.unique(rows[kept].astype(np.int64) * len(idf) + words[kept], return_counts=True)
-    row, word = key // len(idf), key % len(idf)
-    first, value = np.flatnonzero(np.diff(row, prepend=-1)), tf * idf[word]
-    if len(key):
-        norm = np.sqrt(np.add.reduceat(value.astype(np.float64) ** 2, first))
-        value = value / np.repeat(norm, np.diff(first, append=len(key)))
-    return Sparse(word, value.astype(np.float32), first)
+    half: np.ndarray
+    doc: np.ndarray
+    number: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    paired: np.ndarray
+    window: np.ndarray
+
+
+def stretches(docs: list[np.ndarray], overlap: int = 1, most: int = 100_000) -> Iterator[Stretch]:
+    """All documents, about `most` words at a time. A longer one is cut into pieces that share `overlap` halves, so that with
+    one every window is in one piece, and with more every surroundings of so many halves is in some piece."""
+    step, held, size = max(1, most // HALF), [], 0
+    for d, c in enumerate(docs):
+        for s in range(0, max(1, -(-len(c) // HALF) - overlap), step):
+            piece = c[s * HALF : (s + step + overlap) * HALF]
+            if held and size + len(piece) > most:
+                yield _stretch(held)
+                held, size = [], 0
+            if len(piece):
+                held.append((d, s, piece))
+                size += len(piece)
+    if held:
+        yield _stretch(held)
+
+
+def _stretch(pieces: list[tuple[int, int, np.ndarray]]) -> Stretch:
+    lengths = np.array([len(c) for _, _, c in pieces])
+    n = -(-lengths // HALF)
+    base = np.concatenate([[0], np.cumsum(n)])
+    of, at = np.repeat(np.arange(len(n)), lengths), np.repeat(np.arange(len(n)), n)
+    half = base[of] + (np.arange(lengths.sum()) - (np.cumsum(lengths) - lengths)[of]) // HALF
+    paired = np.append(at[1:] == at[:-1], False)
+    doc, first = (np.array([p[k] for p in pieces]) for k in (0, 1))
+    return Stretch(np.concatenate([c for _, _, c in pieces]), half, doc[at], first[at] + np.arange(base[-1]) - base[at], base[at], base[at + 1], paired, paired | (n == 1)[at])
+
+
+class Projected:
+    """TF-IDF windows of a stretch times a basis, by small dense blocks of halves over the words that occur in them."""
+
+    def __init__(self, s: Stretch, idf: np.ndarray, basis: np.ndarray, block: int = 32):
+        at = np.flatnonzero(s.word >= 0)
+        at = at[idf[s.word[at]] > 0]
+        word, half, n = s.word[at], s.half[at], len(s.doc)
+        self.blocks, self.stretch = [], s
+        y, square, cross = np.zeros((n + 1, basis.shape[1]), np.float32), np.zeros(n + 1), np.zeros(n)
+        cuts, place, seen = np.searchsorted(half, np.arange(n + 2)), np.zeros(len(idf), np.int64), np.zeros(len(idf), bool)
+        for a in range(0, n, block):
+            b = min(n, a + block)
+            k, more = slice(cuts[a], cuts[min(n, b + 1)]), min(n, b + 1) - a  # and the half after, which the last window has too
+            if k.start == k.stop:
+                continue
+            seen[word[k]] = True
+            words = np.flatnonzero(seen)
+            seen[words], place[words] = False, np.arange(len(words))
+            column = place[word[k]]
+            x = np.bincount((half[k] - a) * len(words) + column, minlength=more * len(words)).reshape(more, len(words)).astype(np.float32) * idf[words]
+            y[a:b] = x[: b - a] @ basis[words]
+            square[a:b] = np.einsum("ij,ij->i", x[: b - a], x[: b - a])
+            cross[a : a + more - 1] = np.einsum("ij,ij->i", x[:-1], x[1:])
+            self.blocks.append((a, b, words, x[: b - a]))
+        self.norm2 = np.where(s.window, square[:-1] + np.where(s.paired, square[1:] + 2 * cross, 0), 0)
+        self.y = y[:-1] + np.where(s.paired[:, None], y[1:], 0)
+
+    def add_back(self, total: np.ndarray) -> int:
+        """Adds windows of unit length, transposed, times their products to total; how many windows these are."""
+        own = self.norm2 > 1e-12
+        z = self.y * np.where(own, 1 / np.where(own, self.norm2, 1), 0).astype(np.float32)[:, None]
+        later = np.flatnonzero(self.stretch.paired)
+        back = z.copy()
+        back[later + 1] += z[later]
+        for a, b, words, x in self.blocks:
+            total[words] += x.T @ back[a:b]
+        return int(own.sum())
 
 
 def _sum_by_word(parts: DataFrame, v: int, width: int) -> np.ndarray:
@@ -179,7 +233,6 @@ def latent_basis(encoded: DataFrame, items: Items, idf: np.ndarray, seed: int =
     """
     v, width = len(idf), min(len(idf), RANK + OVERSAMPLE)
     cut, _ = passages(items.codes)
-    own = tfidf(np.repeat(np.arange(len(cut)), [len(c) for c in cut]), np.concatenate(cut), idf)
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((v, width)))[0].astype(np.float32)
     for _ in range(POWER_STEPS + 1):
         shared = encoded.sparkSession.sparkContext.broadcast((basis, idf))
@@ -188,15 +241,8 @@ def latent_basis(encoded: DataFrame, items: Items, idf: np.ndarray, seed: int =
             basis, idf = shared.value
             total, n_windows = np.zeros((v, width), np.float32), 0
             for batch in batches:
-                for _, flat, half, base, owner in _chunks(_codes(batch.column(0), v), 100_000):
-                    at = np.flatnonzero(flat >= 0)
-                    at = at[idf[flat[at]] > 0]
-                    paired = np.append(owner[1:] == owner[:-1], False)
-                    starts = paired | (np.diff(base)[owner] == 1)
-                    here, before = at[starts[half[at]]], at[(half[at] > 0) & paired[half[at] - 1]]
-                    rows = tfidf(np.concatenate([half[here], half[before] - 1]), np.concatenate([flat[here], flat[before]]), idf)
-                    n_windows += len(rows.first)
-                    rows.gram(basis, total)
+                for s in stretches(_codes(batch.column(0), v)):
+                    n_windows += Projected(s, idf, basis).add_back(total)
             words = np.flatnonzero(total.any(axis=1))
             for k in range(0, len(words), 1_000):
                 some = words[k : k + 1_000]
@@ -207,10 +253,12 @@ def latent_basis(encoded: DataFrame, items: Items, idf: np.ndarray, seed: int =
 
         total = _sum_by_word(encoded.select("codes").mapInArrow(run, "word int, part binary"), v + 1, width)
         n_windows, total = float(total[v, 0]), total[:v]
-        part = np.zeros_like(total)
-        own.gram(basis, part)
-        total += max(1.0, ITEM_SHARE * n_windows / max(1, len(own.first))) * part
+        part, n_own = np.zeros_like(total), 0
+        for s in stretches(cut):  # a passage is one window at most
+            n_own += Projected(s, idf, basis).add_back(part)
+        total += max(1.0, ITEM_SHARE * n_windows / max(1, n_own)) * part
         basis = np.linalg.svd(total, full_matrices=False)[0].astype(np.float32)
+        shared.unpersist()
     return basis[:, :RANK]
 
 
@@ -227,38 +275,12 @@ def unit_vectors(codes: list[np.ndarray], word_vectors: np.ndarray) -> np.ndarra
     return np.where(norm > 1e-6, out / np.maximum(norm, 1e-6), 0).astype(np.float32)
 
 
-def _chunks(docs: list[np.ndarray], most: int = 500_000) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first document, words, half of each word, first half of each document, document of each half), `most` words at a time."""
-    start = 0
-    while start < len(docs):
-        stop, size = start, 0
-        while stop < len(docs) and (stop == start or size + len(docs[stop]) <= most):
-            size += len(docs[stop])
-            stop += 1
-        lengths = np.array([len(c) for c in docs[start:stop]])
-        n_halves = -(-lengths // HALF)
-        base = np.concatenate([[0], np.cumsum(n_halves)])
-        doc = np.repeat(np.arange(stop - start), lengths)
-        half = base[doc] + (np.arange(size) - (np.cumsum(lengths) - lengths)[doc]) // HALF
-        yield start, np.concatenate(docs[start:stop]), half, base, np.repeat(np.arange(stop - start), n_halves)
-        start = stop
-
-
-def _near_in_space(flat, half, base, owner, idf, word_vectors, latent, most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _near_in_space(s: Stretch, idf, basis, latent, most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(half that a window starts at, passage) of the pairs with a cosine of MIN_COSINE, both sides of length 1 in the space."""
-    at = np.flatnonzero(flat >= 0)
-    at = at[idf[flat[at]] > 0]
-    if not len(at):
-        return
-    sums = np.zeros((base[-1], word_vectors.shape[1]), np.float32)
-    first = np.flatnonzero(np.diff(half[at], prepend=-1))
-    sums[half[at][first]] = np.add.reduceat(word_vectors[flat[at]], first, axis=0)
-    paired = np.append(owner[1:] == owner[:-1], False)
-    windows = np.flatnonzero(paired | (np.diff(base)[owner] == 1))
-    vectors = sums[windows] + np.where(paired[windows][:, None], sums[np.minimum(windows + 1, len(sums) - 1)], 0)
+    vectors = Projected(s, idf, basis).y
     norm = np.linalg.norm(vectors, axis=1)
-    some = np.flatnonzero(norm > 1e-6)
-    windows, vectors = windows[some], vectors[some] / norm[some][:, None]
+    windows = np.flatnonzero(s.window & (norm > 1e-6))
+    vectors = vectors[windows] / norm[windows][:, None]
     step = max(1, most // len(latent))
     for k in range(0, len(windows), step):
         r, i = np.nonzero(vectors[k : k + step] @ latent.T >= MIN_COSINE)
@@ -275,44 +297,61 @@ class Postings:
     item: np.ndarray
     places: np.ndarray
     least: np.ndarray
-    reach: np.ndarray
+    before: np.ndarray
 
 
 def item_postings(codes: list[np.ndarray], counts: np.ndarray, block: int = 1_000) -> list[Postings]:
     out = []
     for first in range(0, len(codes), block):
-        words, owners, places, least, reach = [], [], [], [], []
+        words, owners, places, least, before = [], [], [], [], []
         for i, c in enumerate(codes[first : first + block]):
             need = needed(len(c))
             least.append(max(1, need // 4))
-            reach.append(2 * -(-len(c) // HALF) + 2)  # halves that the surroundings of a window touch
+            before.append(-(-len(c) // HALF))  # halves that the surroundings of a window reach to either side of it
             w, n = np.unique(c[np.argsort(counts[c], kind="stable")][: len(c) - need + least[-1]], return_counts=True)
             words.append(w)
             places.append(n)
             owners.append(np.full(len(w), i))
         word, order = np.concatenate(words), np.argsort(np.concatenate(words), kind="stable")
         starts = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(counts)))])
-        out.append(Postings(first, starts, np.concatenate(owners)[order], np.concatenate(places)[order], np.array(least), np.array(reach)))
+        out.append(Postings(first, starts, np.concatenate(owners)[order], np.concatenate(places)[order], np.array(least), np.array(before)))
     return out
 
 
-def _near_by_words(flat, half, base, owner, postings: Postings) -> tuple[np.ndarray, np.ndarray]:
-    """(half, item): from that half on, an item's surroundings of a window hold enough of its rarer words. No leak is missed."""
-    at = np.flatnonzero(flat >= 0)
-    n = postings.starts[flat[at] + 1] - postings.starts[flat[at]]
+def _near_by_words(s: Stretch, postings: Postings) -> tuple[np.ndarray, np.ndarray]:
+    """(half that a window starts at, item): the window's surroundings hold enough of the item's rarer words. No leak is missed."""
+    at, n_halves = np.flatnonzero(s.word >= 0), len(s.doc)
+    n = postings.starts[s.word[at] + 1] - postings.starts[s.word[at]]
     at, n = at[n > 0], n[n > 0]
     if not len(at):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    entry = np.repeat(postings.starts[flat[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    entry = np.repeat(postings.starts[s.word[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     item = postings.item[entry].astype(np.int64)
-    key = item * base[-1] + np.repeat(half[at], n)
+    key = item * n_halves + np.repeat(s.half[at], n)
     order = np.argsort(key)
     key, held = key[order], np.concatenate([[0], np.cumsum(postings.places[entry][order])])
     fresh = np.flatnonzero(np.diff(key, prepend=-1))
-    item, begin = key[fresh] // base[-1], key[fresh] % base[-1]
-    stop = np.searchsorted(key, item * base[-1] + np.minimum(begin + postings.reach[item], base[owner[begin] + 1]))
-    enough = np.flatnonzero(held[stop] - held[fresh] >= postings.least[item])
-    return begin[enough], item[enough] + postings.first
+    item, first = key[fresh] // n_halves, key[fresh] % n_halves
+
+    def reached(begin: np.ndarray, item: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Places met from half `begin` on in surroundings that begin there, within the piece that half `piece` is in."""
+        low, high = np.maximum(begin, s.begin[piece]), np.minimum(begin + 2 * postings.before[item] + 2, s.end[piece])
+        return held[np.searchsorted(key, item * n_halves + high)] - held[np.searchsorted(key, item * n_halves + low)]
+
+    enough = np.flatnonzero(reached(first, item, first) >= postings.least[item])
+    # What surroundings hold from their first entry on they hold from any half since the entry before.
+    since = np.concatenate([[-1], first[:-1]])
+    since = np.where((np.diff(item, prepend=-1) == 0) & (since >= s.begin[first]), since, -(2**40))
+    item, first, since = item[enough], first[enough], since[enough]
+    low = np.maximum(np.maximum(since + 1, first - 2 * postings.before[item] - 1), s.begin[first] - postings.before[item])
+    n = first - low + 1
+    begin = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    item, piece = np.repeat(item, n), np.repeat(first, n)
+    window = begin + postings.before[item]
+    good = (window < s.end[piece]) & s.window[np.minimum(window, n_halves - 1)]
+    begin, item, piece, window = begin[good], item[good], piece[good], window[good]
+    good = reached(begin, item, piece) >= postings.least[item]
+    return window[good], item[good] + postings.first
 
 
 def needed(n: int) -> int:
@@ -337,53 +376,64 @@ def _places(codes: np.ndarray) -> tuple[dict[int, int], int]:
     return bits, (1 << len(codes)) - 1
 
 
+class Padded:
+    """Documents one after the other with room between them, so that the words around a window are read without its ends."""
+
+    def __init__(self, docs: list[np.ndarray], room: int):
+        lengths = np.array([len(c) + room for c in docs], np.int64)
+        self.docs, self.starts = docs, np.cumsum(lengths) - lengths + room
+        self.flat = np.full(int(lengths.sum()) + 2 * room + 2 * HALF, -1, docs[0].dtype if docs else np.int32)
+        for start, c in zip(self.starts.tolist(), docs, strict=True):
+            self.flat[start : start + len(c)] = c
+
+
+#: Words of an item whose places fit one machine word; longer items are compared one window at a time.
+LANE = 64
+
+
+def window_lcs(text: Padded, item: np.ndarray, doc: np.ndarray, window: np.ndarray, n_words: int, most: int = 2048) -> np.ndarray:
+    """lcs() of an item with the surroundings of many windows at once, a step for each place of a word in these."""
+    n, out, whole = len(item), np.zeros(len(doc), np.int64), _places(item)
+    if n > LANE:
+        return np.array([lcs(*whole, _surroundings(text.docs[d], w, n)) for d, w in zip(doc.tolist(), window.tolist(), strict=True)], np.int64)
+    lane = np.uint32 if n <= 32 else np.uint64
+    bits, full = np.zeros(n_words + 1, lane), lane(whole[1])  # the last is for words that no item has
+    for word, places in whole[0].items():
+        bits[word] = places
+    around = np.lib.stride_tricks.sliding_window_view(text.flat, 2 * HALF + 2 * n)
+    for k in range(0, len(doc), most):
+        rows = around[text.starts[doc[k : k + most]] + window[k : k + most] * HALF - n]
+        free, less = np.full(len(rows), full), np.empty(len(rows), lane)
+        for met in np.take(bits, np.ascontiguousarray(rows.T), mode="wrap"):  # carries above the item's places change none of these
+            np.bitwise_and(met, free, met)
+            np.subtract(free, met, less)
+            np.add(free, met, free)
+            np.bitwise_or(free, less, free)
+        out[k : k + most] = np.bitwise_count(~free & full)
+    return out
+
+
+def _surroundings(codes: np.ndarray, window: int, n: int) -> np.ndarray:
+    """A window of a document and as many words as an item of n has to either side."""
+    return codes[max(0, window * HALF - n) : (window + 2) * HALF + n]
+
+
 class _Checker:
-    """Longest common subsequences of one document's windows with items, each counted once."""
-
-    def __init__(self, items: Items, word_vectors: np.ndarray, latent: np.ndarray, first_passage: np.ndarray):
-        self.items, self.word_vectors, self.latent, self.first_passage = items, word_vectors, latent, first_passage
-        self.bits: dict[int, tuple] = {}
-
-    def item(self, i: int) -> tuple:
-        if i not in self.bits:
-            c = self.items.codes[i]
-            whole = _places(c)
-            self.bits[i] = whole, _places(c[-ANSWER_WORDS:]), {w: b.bit_count() for w, b in whole[0].items()}
-        return self.bits[i]
-
-    def met(self, i: int, near: np.ndarray) -> int:
-        """LCS of item and text, or 0 where the item's words in the text are too few."""
-        whole, _, places = self.item(i)
-        need, there = needed(len(self.items.codes[i])), set(near.tolist())
-        return 0 if sum(n for w, n in places.items() if w in there) < need else lcs(*whole, near)
-
-    def window(self, codes: np.ndarray, w: int, i: int) -> tuple[int, float, float, int] | None:
-        """(LCS, cosine, share of the answer, first word) if the surroundings of window w hold item i."""
-        n, start = len(self.items.codes[i]), w * HALF
-        near = codes[max(0, start - n) : start + 2 * HALF + n]
-        got = self.met(i, near)
-        if got < needed(n):
-            return None
-        answer = lcs(*self.item(i)[1], near) / min(n, ANSWER_WORDS)
+    """What is reported of windows that hold an item."""
+
+    def __init__(self, codes: list[np.ndarray], word_vectors: np.ndarray, latent: np.ndarray, first_passage: np.ndarray):
+        self.codes, self.word_vectors, self.latent, self.first_passage = codes, word_vectors, latent, first_passage
+
+    def leak(self, codes: np.ndarray, w: int, i: int, got: int) -> tuple[int, float, float, int] | None:
+        """(LCS, cosine, share of the answer, first word) if the surroundings of window w, of LCS `got`, hold item i."""
+        item = self.codes[i]
+        n, tail = len(item), item[-ANSWER_WORDS:]
+        answer = lcs(*_places(tail), _surroundings(codes, w, n)) / len(tail)
         if got < LEAK * n and answer < ANSWER:
             return None
-        vector = unit_vectors([codes[start : start + 2 * HALF]], self.word_vectors)[0]
+        vector = unit_vectors([codes[w * HALF : (w + 2) * HALF]], self.word_vectors)[0]
         cosine = float((self.latent[self.first_passage[i] : self.first_passage[i + 1]] @ vector).max())
-        return got, cosine, answer, start
-
-    def best(self, codes: np.ndarray, i: int, windows: set[int], begins: list[int]) -> tuple[int, float, float, int] | None:
-        """The best of the windows that the space names and of those whose surroundings begin near `begins`."""
-        n, last = len(self.items.codes[i]), max(0, -(-len(codes) // HALF) - 2)
-        r, todo = -(-n // HALF), set(windows)
-        begins, at = sorted(set(begins)), 0
-        while at < len(begins):
-            low, x = max(0, begins[at] - r - 1), begins[at]
-            while at < len(begins) and begins[at] <= x + r:
-                high, at = min(last, begins[at] + r), at + 1
-            if self.met(i, codes[max(0, low * HALF - n) : (high + 2) * HALF + n]) >= needed(n):
-                todo.update(range(low, high + 1))
-        found = [x for w in sorted(todo) if (x := self.window(codes, w, i))]
-        return max(found, key=lambda x: x[:2], default=None)
+        return got, cosine, answer, w * HALF
 
 
 _SCHEMA = "doc_id long, item_id long, cosine double, lcs_words long, item_words long, answer_share double, word_start long"
@@ -394,31 +444,34 @@ def _search(spark, items: Items, idf: np.ndarray, counts: np.ndarray, basis: np.
     v, word_vectors = len(idf), (basis * idf[:, None]).astype(np.float32)
     cut, owner_of = passages(items.codes)
     first_passage = np.searchsorted(owner_of, np.arange(len(items.codes) + 1))
-    shared = spark.sparkContext.broadcast((items.ids, items.codes, idf, word_vectors, unit_vectors(cut, word_vectors), owner_of, first_passage, item_postings(items.codes, counts)))
+    shared = spark.sparkContext.broadcast(
+        (items.ids, items.codes, idf, basis, unit_vectors(cut, word_vectors), owner_of, first_passage, item_postings(items.codes, counts))
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        item_ids, item_codes, idf, word_vectors, latent, owner_of, first_passage, postings = shared.value
-        checker = _Checker(Items(item_ids, item_codes, None), word_vectors, latent, first_passage)
+        item_ids, item_codes, idf, basis, latent, owner_of, first_passage, postings = shared.value
+        checker = _Checker(item_codes, (basis * idf[:, None]).astype(np.float32), latent, first_passage)
+        furthest, n_items = max(int(2 * p.before.max() + 2) for p in postings), len(item_ids)
         for batch in batches:
             rows: dict[tuple[int, int], tuple] = {}
             ids, docs = batch.column(0).to_pylist(), _codes(batch.column(1), v)
-            for start, flat, half, base, owner in _chunks(docs):
-                near: dict[tuple[int, int], tuple[set, list]] = {}
-                enough = []  # keys of document and item; elsewhere an item's words are too few for a leak
-                for at, item in (_near_by_words(flat, half, base, owner, p) for p in postings):
-                    enough.append(np.unique(owner[at] * len(item_ids) + item))
-                    for d, w, i in zip(owner[at].tolist(), (at - base[owner[at]]).tolist(), item.tolist(), strict=True):
-                        near.setdefault((d, i), (set(), []))[1].append(w)
-                enough = np.concatenate(enough)
-                for at, passage in _near_in_space(flat, half, base, owner, idf, word_vectors, latent):
-                    item = owner_of[passage]
-                    kept = np.isin(owner[at] * len(item_ids) + item, enough)
-                    at, item = at[kept], item[kept]
-                    for d, w, i in zip(owner[at].tolist(), (at - base[owner[at]]).tolist(), item.tolist(), strict=True):
-                        near[d, i][0].add(w)
-                for (d, i), (windows, begins) in near.items():
-                    if best := checker.best(docs[start + d], i, windows, begins):
-                        rows[start + d, i] = best
+            widest = max(map(len, docs), default=0) // HALF + 2
+            found = [np.empty(0, np.int64)]  # item, document and window in one number
+            for s in stretches(docs):
+                found += [(owner_of[passage] * len(docs) + s.doc[half]) * widest + s.number[half] for half, passage in _near_in_space(s, idf, basis, latent)]
+            for s in stretches(docs, furthest):
+                found += [(item * len(docs) + s.doc[half]) * widest + s.number[half] for half, item in (_near_by_words(s, p) for p in postings)]
+            found = np.sort(np.concatenate(found))
+            found = found[np.diff(found, prepend=-1) > 0]
+            item, doc, window = found // (widest * len(docs)), found // widest % len(docs), found % widest
+            cuts, text = np.searchsorted(item, np.arange(n_items + 1)), Padded(docs, LANE + 2 * HALF)
+            for i in np.flatnonzero(np.diff(cuts)).tolist():
+                k = slice(cuts[i], cuts[i + 1])
+                got = window_lcs(text, item_codes[i], doc[k], window[k], v)
+                for j in np.flatnonzero(got >= needed(len(item_codes[i]))).tolist():
+                    d = int(doc[k][j])
+                    if (leak := checker.leak(docs[d], int(window[k][j]), i, int(got[j]))) and ((d, i) not in rows or leak[:2] > rows[d, i][:2]):
+                        rows[d, i] = leak
             if rows:
                 keys = sorted(rows)
                 yield pa.record_batch([
