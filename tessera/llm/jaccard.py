@@ -283,21 +283,28 @@ def _plausible(num: int, den: int):
     return run
 
 
-def linked_pairs(sets: list[np.ndarray], num: int, den: int, column_step: int = 8192) -> np.ndarray:
-    """Matrix of which sets link: den * intersection >= num * union. Exact counts, elements taken a stretch at a time."""
+def linked_pairs(sets: list[np.ndarray], num: int, den: int, elements: int = 300_000, column_step: int = 8192) -> np.ndarray:
+    """Matrix of which sets link: den * intersection >= num * union. Exact counts, from one range of hashes after another, so
+    that memory hangs on the number of sets and not on their sizes."""
     n, sizes = len(sets), np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
-    _, index, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = counts[index] > 1
-    _, index = np.unique(index[shared], return_inverse=True)
-    owner, both = owner[shared], np.zeros((n, n))
-    order = np.argsort(index, kind="stable")
-    index, owner = index[order], owner[order]
-    for at in range(0, int(index[-1]) + 1 if len(index) else 0, column_step):
-        a, b = np.searchsorted(index, [at, at + column_step])
-        x = np.zeros((n, min(column_step, int(index[-1]) + 1 - at)), np.float32)
-        x[owner[a:b], index[a:b] - at] = 1
-        both += x @ x.T
+    parts = max(1, -(-int(sizes.sum()) // elements))
+    edges = np.array([(k << 64) // parts for k in range(1, parts)], U64)
+    cuts = [np.concatenate([[0], np.searchsorted(s, edges), [len(s)]]) for s in sets]
+    both = np.zeros((n, n))
+    for k in range(parts):
+        flat = np.concatenate([s[c[k] : c[k + 1]] for s, c in zip(sets, cuts, strict=True)])
+        owner = np.repeat(np.arange(n, dtype=np.int32), [c[k + 1] - c[k] for c in cuts])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        same = flat[1:] == flat[:-1]
+        shared = np.append(same, False) | np.insert(same, 0, False) if len(flat) else np.empty(0, bool)
+        flat, owner = flat[shared], owner[shared]
+        column = np.cumsum(np.diff(flat, prepend=~flat[:1]) != 0) - 1
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, column_step):
+            a, b = np.searchsorted(column, [at, at + column_step])
+            x = np.zeros((n, min(column_step, int(column[-1]) + 1 - at)), np.float32)
+            x[owner[a:b], column[a:b] - at] = 1
+            both += x @ x.T
     return den * both >= num * (sizes[:, None] + sizes[None, :] - both)
 
 
@@ -320,7 +327,7 @@ def spanning_links(ids: list[int], linked: np.ndarray) -> list[tuple[int, int]]:
 def _verify(k: int, num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         ids = table["doc_id"].to_pylist()
-        sets = shingle_sets(table["text"].combine_chunks(), k)
+        sets = [x for b in table.select(["text"]).to_batches() for piece in _slices(b, 0) for x in shingle_sets(piece.column(0), k)]
         links = spanning_links(ids, linked_pairs(sets, num, den)) if len(ids) > 1 else []
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
