@@ -149,3 +149,73 @@ def test_licence_files_with_titles_and_licences_before_code(spark):
     house = spark.createDataFrame([("House", "Some house rules of ours")], "license_id string, text string")
     got = {(r.doc_id, r.license_id, r.scope, r.n_units) for r in licenses.license_scan(docs(spark, rows), known_texts=house).collect()}
     assert got == {(i, k, "document", 1) for i, (k, _) in enumerate(licenses.TEXTS)} | {(i, k, "paragraphs", 1) for i, (k, _) in enumerate(licenses.TEXTS)} | {(50, "BSD-3-Clause", "paragraphs", 1), (52, "House", "paragraphs", 1)}
+
+
+def anonymous_page(i, words):
+    """Without article, nav or telling classes: a menu, a box and a foot whose words differ from page to page."""
+    say = lambda n: " ".join(words(n))
+    menu = "".join(f"<li><a href='/{k}'>{say(1)}</a></li>" for k in range(3 + i % 4))
+    story = f"<h1>{say(4)}</h1>" + "".join(f"<p>{say(20)}</p>" for _ in range(2 + i % 5)) + f"<ul><li>{say(5)}</li><li>{say(6)}</li></ul>"
+    parts = re.findall(r"<(?:h1|p|li)>(.*?)</(?:h1|p|li)>", story)
+    return f"<body><div class='m{i}'><ul>{menu}</ul></div><div class='k7'><b>{say(6)}</b></div><div class='c{i}'>{story}</div><div><p>{say(5)}</p></div></body>", "\n".join(parts)
+
+
+def test_templates_whose_words_vary_go_by_their_form(spark):
+    rng = random.Random(12)
+    words = lambda n: [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{rng.randint(0, 10**6)}" for _ in range(n)]
+    pages = [anonymous_page(i, words) for i in range(40)]
+    rows = [(i, f"https://c.example/{i}", p) for i, (p, _) in enumerate(pages)] + [(900, "https://lone.example/", pages[0][0])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_text.main_text(df).collect()}
+    assert all(got[i].text == want and got[i].n_template >= 5 for i, (_, want) in enumerate(pages))
+    assert got[900].n_template == 0 and got[900].text != pages[0][1]  # a site of one page has no template
+    off = {r.page_id: r.text for r in html_text.main_text(df, min_pages=10**9).collect()}
+    assert all(off[i] != want for i, (_, want) in enumerate(pages))
+
+
+def test_counts_alone_find_the_articles_of_the_test_pages(spark):
+    import os
+
+    from test_queries import Article
+
+    data = "/root/testdata/sf0.1/pages.parquet"
+    if not os.path.exists(data):
+        pytest.skip("no test tables")
+    pages = spark.read.parquet(data)
+    html = {r.page_id: r.html for r in pages.collect()}
+    counted = [r for r in html_text.main_text(pages, marks=False).collect() if r.n_template]
+    same = 0
+    for r in counted:
+        article = Article()
+        article.feed(html[r.page_id])
+        article.close()
+        same += r.text == "\n".join(b for b in (" ".join(x.split()) for x in article.blocks) if b)
+    assert len(counted) > 0.9 * len(html) and same >= 0.99 * len(counted)
+
+
+@pytest.mark.parametrize("source, blocks", [
+    ("<a " * 350_000, 0), ('<a "' * 250_000, 0), ("<a '" * 250_001 + ">", 0), ("<div>x" * 100_000, 100_000), ("</p><div>" * 100_000, 0), ("<p>a<b>" * 50_000, 50_000), ("<script>" * 100_000, 0),
+])
+def test_long_odd_pages_are_read_in_linear_time(source, blocks):
+    import time
+
+    began = time.process_time()
+    page = html_text.Page(source)
+    page.seen()
+    html_text.page_text({k: getattr(page, k) for k in ("blocks", "owner", "parent", "content", "form", "path", "bits")}, set(), set(), set(), set(), False)
+    assert len(page.blocks) == blocks and time.process_time() - began < 15
+
+
+def test_script_texts_and_broken_quotes():
+    text = lambda s: html_text.Page(s).blocks
+    assert text("<p>a</p><script>if (x<y && s=\"it's\") { t='</p>' }</script><p>b</p>") == ["a", "b"]
+    assert text('<p title="5 > 4">a</p><p class="x>b</p><p>c</p>') == ["a", "b", "c"]
+    assert text("<p>a<!-- <p>no --> b</p><!DOCTYPE x><p>c<!-- open") == ["a b", "c"] and text("<p>a</p><p cl") == ["a"]
+
+
+def test_pages_without_rows_and_with_clashing_columns(spark):
+    schema = "page_id long, url string, html string, text string, n_chars string, blocks int, sites int, whole int"
+    assert html_text.main_text(spark.createDataFrame([], schema)).collect() == []
+    rows = [(1, "https://h/a", "<p>x</p>", "old", "old", 1, 2, 3), (None, None, None, None, None, None, None, None)]
+    got = sorted((r.page_id or 0, r.url, r.text, r.n_chars) for r in html_text.main_text(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(0, None, "", 0), (1, "https://h/a", "x", 1)]
