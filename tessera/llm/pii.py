@@ -51,7 +51,7 @@ def detect(text: str) -> list[Span]:
     """Spans (kind, start, end) by start, then kind: per kind leftmost and non-overlapping; failing matches drop without retries."""
     found = list(_emails(text))
     if "." in text:
-        found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+        found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(d := p.lstrip("0")) < 4 and int(d or 0) <= 255 for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12 and 12 <= len(d := _NON_DIGIT.sub("", m[0])) <= 19 and luhn(d):
             found.append(("card", *m.span()))
@@ -131,7 +131,10 @@ _RUN = re.compile(_SPELLED, re.I)
 _PART = re.compile(rf"(?P<plus>plus[ ,-]+)|(?P<dot>{_SAID_DOT})|(?P<word>{_WORD}(?![^\W\d_]))|(?P<digits>[0-9]+)|(?P<gap>[ ,-]+)", re.I)
 _AT_SIGN = re.compile(rf"(?P<bracket>{_OPEN}(?:{_AT}|@){_CLOSE})|(?P<said>[ ]{_AT}[ ])|(?P<sign>[ ]?@[ ]?)", re.I)
 _DOMAIN_SAID = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{_SAID_DOT})[A-Za-z0-9-]+)+", re.I)
-_LOCAL_SAID = re.compile(rf"[A-Za-z0-9._%+-]+(?:{_SAID_DOT}[A-Za-z0-9._%+-]+)*\Z", re.I)
+_DOT_BEFORE = re.compile(rf"{_SAID_DOT}\Z", re.I)
+#: The longest a dot in words or brackets can be.
+_DOT_MOST = 16
+_ODD_LOCAL = re.compile(r"[0-9._%+-]")
 _SAID_DOTS, _BRACKET_DOTS = re.compile(_SAID_DOT, re.I), re.compile(_BRACKET_DOT, re.I)
 #: Letters that stand in for 0 and 1 among digits.
 _LETTER_DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1"}
@@ -142,10 +145,6 @@ TRIGGER = "(?i:" + "|".join([
     rf"[{''.join(sorted(re.escape(c) for c in FOLD))}]", _SPELLED, rf"[\[({{<][ \t]{{0,3}}(?:{_AT}|{_DOT}|@|\.)[ \t]{{0,3}}[\])}}>]",
     rf" {_AT} [a-z0-9-]+(?:\.|[ ]{_DOT}[ ])[a-z0-9]", rf" @|@ |@[a-z0-9.-]+[ ]{_DOT}[ ]",
 ]) + ")|" + _MIXED_HINT
-#: An email's local part has 64 characters at most, so it is looked for no further back than this from a disguised at.
-LOCAL_MOST = 128
-
-
 def fold_edits(text: str) -> list[tuple[int, int, str]]:
     return [] if text.isascii() else [(*m.span(), FOLD[m[0]]) for m in _FOLD.finditer(text)]
 
@@ -174,19 +173,36 @@ def spelled_edits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _local_start(text: str, end: int) -> int:
+    """Where the local part that ends at `end` starts, its dots in words or brackets included; `end` if there is none. Goes back
+    as far as the part goes, so its cost is the part's length."""
+    start = end
+    while True:
+        here = start
+        while here > 0 and text[here - 1] in _LOCAL:
+            here -= 1
+        if here == start:  # no letters before what was taken for a dot
+            return end if start == end else before
+        start = here
+        dot = _DOT_BEFORE.search(text, max(0, start - _DOT_MOST), start)
+        if not dot:
+            return start
+        before, start = start, dot.start()
+
+
 def disguise_edits(text: str) -> list[tuple[int, int, str]]:
     """At and dot in brackets or as words. A bare word "at" needs a spelled dot, or a name that isn't a plain word, beside it."""
-    edits = [(*m.span(), ".") for m in _BRACKET_DOTS.finditer(text)]
+    edits, reached = [(*m.span(), ".") for m in _BRACKET_DOTS.finditer(text)], 0
     for m in _AT_SIGN.finditer(text):
         domain = _DOMAIN_SAID.match(text, m.end())
-        back = max(0, m.start() - LOCAL_MOST)
-        local = _LOCAL_SAID.search(text[back : m.start()]) if domain else None
-        if not local:
+        start = max(reached, _local_start(text, m.start())) if domain else m.start()
+        if start >= m.start():
             continue
-        here = [(back + local.start() + d.start(), back + local.start() + d.end(), ".") for d in _SAID_DOTS.finditer(local[0])]
+        reached = m.end()
+        here = [(*d.span(), ".") for d in _SAID_DOTS.finditer(text, start, m.start())]
         there = [(*d.span(), ".") for d in _SAID_DOTS.finditer(text, *domain.span())]
         odd = m.lastgroup == "bracket" or here or there or m.lastgroup == "sign" and len(m[0]) > 1
-        if odd or m.lastgroup == "said" and re.search(r"[0-9._%+-]", local[0]):
+        if odd or m.lastgroup == "said" and _ODD_LOCAL.search(text, start, m.start()):
             edits += [*here, (*m.span(), "@"), *there]
     apart, reached = [], 0
     for e in sorted(set(edits)):
@@ -244,18 +260,18 @@ def _scan(batches: Iterator[pa.RecordBatch], rewrite: bool) -> Iterator[pa.Recor
             continue
         n = {k: pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS}
         digests = [hashlib.sha256(listing(base).encode()).hexdigest() for base, _ in found]
-        cols = [batch.column(0), *n.values(), pa.array(digests, pa.string()), pa.array([listing(f) for _, f in found], pa.string()), pa.array([len(f) - len(b) for b, f in found], pa.int64())]
-        yield pa.record_batch(cols, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_disguised"])
+        cols = [batch.column(0), *n.values(), pa.array(digests, pa.string()), pa.array([listing(f) for _, f in found], pa.string()), pa.array([len(f) - len(b) for b, f in found], pa.int64()), pa.array([len(f) for _, f in found], pa.int64())]
+        yield pa.record_batch(cols, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_disguised", "n_spans"])
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_disguised.
+    """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_disguised, n_spans.
 
     A null text counts as empty and has no spans; a null id stays null; repeated rows are repeated; other columns aren't read.
     Offsets are code points, end exclusive. Work per text is linear in its length; no shuffle.
     """
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long, n_spans long"
     return own.mapInArrow(lambda it: _scan(it, False), schema)
 
 

@@ -219,3 +219,80 @@ def test_pages_without_rows_and_with_clashing_columns(spark):
     rows = [(1, "https://h/a", "<p>x</p>", "old", "old", 1, 2, 3), (None, None, None, None, None, None, None, None)]
     got = sorted((r.page_id or 0, r.url, r.text, r.n_chars) for r in html_text.main_text(spark.createDataFrame(rows, schema)).collect())
     assert got == [(0, None, "", 0), (1, "https://h/a", "x", 1)]
+
+
+# ---- planted disguises ----
+def plain_identifiers(rng):
+    word = lambda n: "".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(n))
+    digits = [rng.randint(0, 9) for _ in range(15)]
+    check = next(d for d in range(10) if pii.luhn("".join(map(str, [4, *digits[:14], d]))))
+    card = "".join(map(str, [4, *digits[:14], check]))
+    return {
+        "email": f"{word(rng.randint(3, 8))}{rng.choice(['', '.', '_'])}{word(4)}{rng.randint(1, 99)}@{word(7)}.{rng.choice(['com', 'org', 'net', 'co.uk'])}",
+        "ip": ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+        "card": " ".join(card[k : k + 4] for k in range(0, 16, 4)),
+        "phone": f"+{rng.randint(1, 99)} {rng.randint(100, 999)} {rng.randint(100, 999)} {rng.randint(1000, 9999)}",
+    }
+
+
+def spelled(rng, text):
+    names = rng.choice(["zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve"]).split()
+    out = []
+    for ch in text:
+        out.append(names[int(ch)] if ch.isdigit() else {".": "dot", "+": "plus"}.get(ch, ""))
+    return " ".join(w for w in out if w)
+
+
+def swapped(rng, text, table):
+    some = [ch for ch in text if ch in table]
+    keep = rng.choice(some)
+    return "".join(table[ch] if ch in table and (ch == keep or rng.random() < 0.5) else ch for ch in text)
+
+
+LOOKS = {"a": "а", "e": "е", "o": "о", "c": "с", "p": "р", "i": "і", "s": "ѕ"}
+WIDE = {str(d): chr(0xFF10 + d) for d in range(10)} | {".": "．", "+": "＋", "@": "＠"}
+ARABIC = {str(d): chr(0x0660 + d) for d in range(10)}
+DISGUISES = {
+    "email": [lambda r, t: t.replace("@", r.choice([" [at] ", "(at)", " {AT} ", "<at>"])).replace(".", r.choice([" [dot] ", "(dot)", "[.]"])),
+              lambda r, t: t.replace("@", " at ").replace(".", " dot "), lambda r, t: t.replace("@", " @ "), lambda r, t: t.replace("@", " arroba ").replace(".", " punto "),
+              lambda r, t: swapped(r, t, WIDE), lambda r, t: swapped(r, "co" + t, LOOKS), lambda r, t: t[:2] + "​" + t[2:]],
+    "ip": [lambda r, t: t.replace(".", "[.]"), lambda r, t: t.replace(".", " dot "), lambda r, t: swapped(r, t, WIDE), spelled],
+    "card": [lambda r, t: swapped(r, t, WIDE), lambda r, t: swapped(r, t, ARABIC), spelled, lambda r, t: t.replace(" ", "‑"), lambda r, t: swapped(r, t, {"0": "O", "1": "l"}) if t.count("0") + t.count("1") in (1, 2, 3, 4) else swapped(r, t, WIDE)],
+    "phone": [lambda r, t: swapped(r, t, WIDE), spelled, lambda r, t: t.replace(" ", "‑"), lambda r, t: swapped(r, t, ARABIC)],
+}
+
+
+def planted(rng, n):
+    """(text, kind, disguise, start, end) of identifiers in prose, one a text."""
+    prose = "We went to the market and saw two of them there, near a point on the map. Der Tag war schön, la vie est un jeu; no hay mal que por bien no venga".split()
+    for _ in range(n):
+        kind = rng.choice(pii.KINDS)
+        k = rng.randrange(len(DISGUISES[kind]))
+        said = DISGUISES[kind][k](rng, plain_identifiers(rng)[kind])
+        before, after = (" ".join(rng.choice(prose) for _ in range(rng.randint(2, 30))) for _ in range(2))
+        yield f"{before}: {said}; {after}", kind, k, len(before) + 2, len(before) + 2 + len(said)
+
+
+def test_planted_disguises_are_found_and_prose_is_left_alone(spark):
+    rng = random.Random(31)
+    cases = list(planted(rng, 4000))
+    rows = pii.pii_spans(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string").repartition(4)).collect()
+    whole, touched, wrong, missed = 0, 0, 0, {}
+    for r in rows:
+        _, kind, k, start, end = cases[r.doc_id]
+        spans = [(a, int(b), int(c)) for a, b, c in (x.split(":") for x in r.spans.split(",") if x)]
+        whole += (kind, start, end) in spans
+        hit = any(a == kind and b < end and start < c for a, b, c in spans)
+        touched += hit
+        wrong += sum(not (b < end and start < c) for _, b, c in spans)
+        if not hit:
+            missed[kind, k] = missed.get((kind, k), 0) + 1
+    print(f"found {touched / 4000:.4f}, exact {whole / 4000:.4f}, spans elsewhere {wrong}, missed {missed}")
+    assert touched >= 0.97 * 4000 and whole >= 0.93 * 4000 and wrong <= 4
+
+
+def test_long_digits_and_long_local_parts():
+    assert pii.detect("1.2.3." + "0" * 5001) == [("ip", 0, 5007)] and pii.detect("1.2.3." + "9" * 5001) == []
+    local = " dot ".join(f"ab{i}" for i in range(60))
+    text = f"to {local} at corp dot example dot com now"
+    assert [(k, text[s:e]) for k, s, e in pii.find_spans(text)[1]] == [("email", text[3:-4])]
