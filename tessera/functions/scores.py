@@ -27,8 +27,20 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, UPPER, LOWER), NOT_A_TOKEN), lambda t: t != "")
 
 
-def _occurrences(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda t: t == term))
+def spaced(text: Column) -> Column:
+    """The tokens of a text with two spaces between them and one at either end, so that each has spaces of its own."""
+    clean = F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), NOT_A_TOKEN, "  "))
+    return F.when(clean == "", F.lit("")).otherwise(F.concat(F.lit(" "), clean, F.lit(" ")))
+
+
+def n_tokens(words: Column) -> Column:
+    return ((F.char_length(words) - F.char_length(F.replace(words, F.lit(" "), F.lit("")))) / 2).cast("int")
+
+
+def occurrences(words: Column, term: str) -> Column:
+    """How often a token is in a text of spaced() tokens: plain string functions, which stay in generated code."""
+    gone = F.char_length(F.replace(words, F.lit(f" {term} "), F.lit("")))
+    return ((F.char_length(words) - gone) / (len(term) + 2)).cast("int")
 
 
 def query_terms(query: str) -> list[str]:
@@ -38,22 +50,43 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(t for t in re.split("[^0-9a-z\x80-\U0010ffff]+", query.translate(str.maketrans(UPPER, LOWER))) if t))
 
 
+def term_counts(df: DataFrame, text: str, terms: list[str], keep: list[str | Column]) -> DataFrame:
+    """keep, n (tokens; null without a text) and tf_0, tf_1 ... of the terms: one pass over the texts."""
+    words = df.select(*keep, spaced(F.col(f"`{text}`")).alias("_words"))
+    kept = words.columns[:-1]
+    return words.select(*(F.col(f"`{c}`") for c in kept), n_tokens(F.col("_words")).alias("n"), *(occurrences(F.col("_words"), t).alias(f"tf_{k}") for k, t in enumerate(terms)))
+
+
+def corpus_statistics(counts: DataFrame, n_terms: int) -> tuple[int, float, list[int]]:
+    """(texts, mean length, texts with each term) of a frame of term counts: one aggregate."""
+    got = counts.where("n is not null").agg(F.count(F.lit(1)), F.sum("n"), *(F.count_if(F.col(f"tf_{k}") > 0) for k in range(n_terms))).first()
+    return got[0], max(1.0, (got[1] or 0) / max(1, got[0])), list(got[2:])
+
+
+def bm25_of_counts(statistics: tuple[int, float, list[int]]) -> Column:
+    """The score as a column over n and tf_0, tf_1 ..., terms in their order; 0 without a text."""
+    n, average, holding = statistics
+    total, length = F.lit(0.0), 1 - B + B * F.col("n") / average
+    for k, df_term in enumerate(holding):
+        df_term, tf = max(1, df_term), F.col(f"tf_{k}")
+        idf = F.log(F.lit(1 + (n - df_term + 0.5) / (df_term + 0.5)))
+        total = total + F.when(tf > 0, idf * (tf * (K1 + 1)) / (tf + K1 * length)).otherwise(0.0)
+    return F.coalesce(total, F.lit(0.0))
+
+
 def bm25(df: DataFrame, text: str, query: str, score: str = "score") -> DataFrame:
     """df with a double column score: BM25 of its text column; rows that don't match, and those without text, have 0.
 
-    Corpus statistics are one aggregate without a shuffle of rows: a count, a length and a document frequency a term.
+    Texts are read for the corpus statistics and again for the scores; retrieve.lexical reads them once.
     """
     terms = query_terms(query)
     if not terms:
         return df.withColumn(score, F.lit(0.0))
-    counted = df.select(tokens(F.col(f"`{text}`")).alias("t")).where("t is not null")
-    stats = counted.agg(F.count(F.lit(1)), F.sum(F.size("t")), *(F.count_if(F.array_contains("t", t)) for t in terms)).first()
-    n, average = stats[0], max(1.0, (stats[1] or 0) / max(1, stats[0]))
-    own, total = tokens(F.col(f"`{text}`")), F.lit(0.0)
-    length = 1 - B + B * F.size("_tokens") / average
-    for term, df_term in zip(terms, stats[2:], strict=True):
-        df_term = max(1, df_term)
-        tf = _occurrences("_tokens", term)
-        idf = F.log(F.lit(1 + (n - df_term + 0.5) / (df_term + 0.5)))
-        total = total + F.when(tf > 0, idf * (tf * (K1 + 1)) / (tf + K1 * length)).otherwise(0.0)
-    return df.withColumn("_tokens", own).withColumn(score, F.coalesce(total, F.lit(0.0))).drop("_tokens")
+    statistics = corpus_statistics(term_counts(df, text, terms, []), len(terms))
+    counted = term_counts(df, text, terms, [F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")])
+    return counted.select("_row.*", bm25_of_counts(statistics).alias(score))
+
+
+def four_decimals(score: Column) -> Column:
+    """The text of a score: four decimals, exact ties to even, no thousands signs."""
+    return F.when(F.isnan(score.cast("double")), F.lit("NaN")).otherwise(F.replace(F.format_number(score.cast("double"), 4), F.lit(","), F.lit("")))

@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def votes_of(edges: DataFrame, name: str = "voted") -> DataFrame:
+    """The edges of that name, leading colons on either side aside."""
+    return edges.where(F.ltrim(F.col("name"), F.lit(":")) == name.lstrip(":"))
+
+
 def _joined(records: DataFrame, per_target: DataFrame) -> DataFrame:
     return records.join(per_target.withColumnRenamed("dst", "id"), "id", "left")
 

@@ -1,17 +1,22 @@
 """Walks over typed edges: bounded paths, numbers of walks, transitive closure.
 
-nodes has a column id; edges have seq, name, src, dst, weight and props as columns. A frontier is a DataFrame, a hop a
-join with the edges of its step.
+A graph is node tables and edge tables. A node table has a column id in its own type; an edge table leads from one node table
+to another and has seq (append order over all edges), src, dst, weight and props as columns. Ids show as table:id. A hop reads
+only the edge tables of its name that leave the tables reached so far, and joins on plain ids; the start is a literal that
+reaches the scan. Plain DataFrames of display ids, with the edge's name as a column, are a graph of one table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.retrieve import _own_ids
+
 U64_MAX = 2**64 - 1
 
 
@@ -22,68 +27,141 @@ class Step:
     where: Callable[[DataFrame], Column] | None = None
 
 
-def _step_edges(edges: DataFrame, step: Step, start: str | None = None) -> DataFrame:
-    """The edges a step may take; from one start only, the filter goes to the scan and the hop's join is small."""
-    own = edges.where(F.col("name") == step.name.lstrip(":"))
-    if start is not None:
-        own = own.where(F.col("src" if step.outgoing else "dst") == start)
-    if step.where is not None:
-        own = own.where(step.where(own))
-    a, b = ("src", "dst") if step.outgoing else ("dst", "src")
-    return own.select("seq", F.col(a).alias("here"), F.col(b).alias("there"), "weight")
+@dataclass(frozen=True)
+class Edges:
+    """Edges of one name between two node tables; name None: the frame has a column name, and display ids."""
+
+    name: str | None
+    src: str
+    dst: str
+    frame: DataFrame
+
+
+Nodes = dict[str, DataFrame]
+
+
+def _graph(nodes: DataFrame | Nodes, edges: DataFrame | list[Edges]) -> tuple[Nodes, list[Edges]]:
+    return (nodes, edges) if isinstance(nodes, dict) else ({"": nodes}, [Edges(None, "", "", edges)])
+
+
+def _shown(table: str) -> Column:
+    return F.concat(F.lit(f"{table}:"), F.col("id").cast("string")) if table else F.col("id")
 
 
-def _start(nodes: DataFrame, start: str) -> DataFrame:
-    return nodes.where(F.col("id") == start).select("id").distinct()
+def _start(nodes: Nodes, start: str) -> tuple[str, Column | None]:
+    """(table of the start, predicate for its id over a column id): None where no row can have it."""
+    table = start.partition(":")[0] if "" not in nodes else ""
+    if table not in nodes:
+        return table, None
+    own = [start] if not table else _own_ids(nodes[table], table, [start], "id")
+    return table, F.lit(own[0]) if own else None
 
 
-def match(nodes: DataFrame, edges: DataFrame, start: str, steps: list[Step]) -> DataFrame:
+def _hop(edges: list[Edges], step: Step, tables: list[str], start: Column | None = None) -> list[tuple[str, str, DataFrame]]:
+    """(table here, table there, edges with seq, here, there, weight) of the edge tables that a step can take from `tables`."""
+    out, name = [], step.name.lstrip(":")
+    for e in edges:
+        here, there = (e.src, e.dst) if step.outgoing else (e.dst, e.src)
+        if here not in tables or e.name is not None and e.name.lstrip(":") != name:
+            continue
+        a, b = ("src", "dst") if step.outgoing else ("dst", "src")
+        own = e.frame if e.name is not None else e.frame.where(F.ltrim(F.col("name"), F.lit(":")) == name)
+        own = own if start is None else own.where(F.col(a) == start)
+        own = own if step.where is None else own.where(step.where(own))
+        out.append((here, there, own.select("seq", F.col(a).alias("here"), F.col(b).alias("there"), "weight")))
+    return out
+
+
+def _by_table(rows: list[tuple[str, DataFrame]]) -> Nodes:
+    out: Nodes = {}
+    for table, frame in rows:
+        out[table] = out[table].unionByName(frame) if table in out else frame
+    return out
+
+
+def _union(frames: list[DataFrame], like: DataFrame, schema: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames) if frames else like.sparkSession.createDataFrame([], schema)
+
+
+def match(nodes: DataFrame | Nodes, edges: DataFrame | list[Edges], start: str, steps: list[Step]) -> DataFrame:
     """(id, score, seq) of the last frontier: score is the weight, or 0, of the first edge that ever reached the record.
 
     seq is that hop's first edge to it; the frontier's order. Targets without a record are skipped; a missing start gives no rows.
     """
-    frontier = _start(nodes, start).withColumn("seq", F.lit(0).cast("long"))
-    seen = frontier.select("id", F.lit(0.0).alias("score"))
+    nodes, edges = _graph(nodes, edges)
+    table, own = _start(nodes, start)
+    any_nodes = next(iter(nodes.values()))
+    frontier: Nodes = {}
+    if own is not None:
+        frontier[table] = nodes[table].where(F.col("id") == own).select("id", F.lit(0).cast("long").alias("seq")).distinct()
+    seen = {t: f.select("id", F.lit(0.0).alias("score")) for t, f in frontier.items()}
     for i, step in enumerate(steps):
-        reached = _step_edges(edges, step, None if i else start).join(frontier.select(F.col("id").alias("here")), "here", "left_semi")
-        first = reached.groupBy(F.col("there").alias("id")).agg(F.min("seq").alias("seq"), F.coalesce(F.min_by("weight", "seq"), F.lit(0.0)).cast("double").alias("new"))
-        frontier = first.join(nodes.select("id"), "id", "left_semi")
-        both = frontier.select("id", "new").join(seen, "id", "full_outer")
-        seen = both.select("id", F.coalesce("score", "new").alias("score"))
-    return frontier.select("id", "seq").join(seen, "id").select("id", "score", "seq")
-
-
-def match_count(nodes: DataFrame, edges: DataFrame, start: str, steps: list[Step]) -> DataFrame:
+        hops = _hop(edges, step, list(frontier), None if i else own)
+        reached = _by_table([(there, e.join(frontier[here].select(F.col("id").alias("here")), "here", "left_semi")) for here, there, e in hops])
+        frontier = {}
+        for t, rows in reached.items():
+            first = rows.groupBy(F.col("there").alias("id")).agg(F.min("seq").alias("seq"), F.coalesce(F.min_by("weight", "seq"), F.lit(0.0)).cast("double").alias("new"))
+            known = first.join(nodes[t].select("id"), "id", "left_semi")
+            if t in seen:
+                both = known.select("id", "new").join(seen[t], "id", "full_outer")
+                seen[t] = both.select("id", F.coalesce("score", "new").alias("score"))
+            else:
+                seen[t] = known.select("id", F.col("new").alias("score"))
+            frontier[t] = known.select("id", "seq")
+    last = [f.join(seen[t], "id").select(_shown(t).alias("id"), "score", "seq") for t, f in frontier.items()]
+    return _union(last, any_nodes, "id string, score double, seq long")
+
+
+def match_count(nodes: DataFrame | Nodes, edges: DataFrame | list[Edges], start: str, steps: list[Step]) -> DataFrame:
     """One row: the number of walks along the steps, parallel edges counted each; saturates at the largest 64-bit unsigned."""
-    walks = _start(nodes, start).withColumn("walks", F.lit(1).cast("decimal(38,0)"))
-    known = nodes.select(F.col("id").alias("there"))
-    cap = F.lit(str(U64_MAX)).cast("decimal(38,0)")
+    nodes, edges = _graph(nodes, edges)
+    table, own = _start(nodes, start)
+    cap, any_nodes = F.lit(str(U64_MAX)).cast("decimal(38,0)"), next(iter(nodes.values()))
+    walks: Nodes = {}
+    if own is not None:
+        walks[table] = nodes[table].where(F.col("id") == own).select("id").distinct().withColumn("walks", F.lit(1).cast("decimal(38,0)"))
     for i, step in enumerate(steps):
-        hop = _step_edges(edges, step, None if i else start).join(walks.withColumnRenamed("id", "here"), "here")
-        walks = hop.groupBy("there").agg(F.least(F.sum("walks").cast("decimal(38,0)"), cap).alias("walks")).join(known, "there", "left_semi").withColumnRenamed("there", "id")
-    return walks.agg(F.least(F.coalesce(F.sum("walks"), F.lit(0)).cast("decimal(38,0)"), cap).alias("count"))
+        hops = _hop(edges, step, list(walks), None if i else own)
+        reached = _by_table([(there, e.join(walks[here].withColumnRenamed("id", "here"), "here").select("there", "walks")) for here, there, e in hops])
+        walks = {}
+        for t, rows in reached.items():
+            n = rows.groupBy(F.col("there").alias("id")).agg(F.least(F.sum("walks").cast("decimal(38,0)"), cap).alias("walks"))
+            walks[t] = n.join(nodes[t].select("id"), "id", "left_semi")
+    whole = _union([w.select("walks") for w in walks.values()], any_nodes, "walks decimal(38,0)")
+    return whole.agg(F.least(F.coalesce(F.sum("walks"), F.lit(0)).cast("decimal(38,0)"), cap).alias("count"))
 
 
-def closure(nodes: DataFrame, edges: DataFrame, start: str, steps: list[Step], cut: Callable[[DataFrame], DataFrame], max_levels: int = 1000) -> DataFrame:
+def closure(nodes: DataFrame | Nodes, edges: DataFrame | list[Edges], start: str, steps: list[Step], cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, depth, visit): every record reached, the start included, each step to its fixpoint; depth counts levels over all steps.
 
-    visit is the path of edge seqs of the first visit, so order by (depth, visit) is the order of first visits. A later step
-    starts from all visited but the start. cut ends a frame's lineage (checkpoint, or a written table); the driver sees one
-    emptiness test a level.
+    visit rises with the order of first visits within a level: by the parent's visit, then by edge. A later step starts from
+    all visited but the start. cut ends a frame's lineage (a written table, or checkpoint); the driver sees one emptiness test
+    a level, and there are as many levels as the graph has.
     """
-    seen = cut(_start(nodes, start).select("id", F.lit(0).cast("long").alias("depth"), F.array().cast("array<bigint>").alias("visit")))
-    known, depth = nodes.select("id"), 0
+    nodes, edges = _graph(nodes, edges)
+    table, own = _start(nodes, start)
+    if own is None:
+        return next(iter(nodes.values())).sparkSession.createDataFrame([], "id string, depth long, visit long")
+    zero = F.lit(0).cast("long")
+    seen = {table: [cut(nodes[table].where(F.col("id") == own).select("id", zero.alias("depth"), zero.alias("visit")).distinct())]}
+    depth = 0
     for i, step in enumerate(steps):
-        own = _step_edges(edges, step).select("seq", "here", "there")
-        frontier = seen if i == 0 else seen.where(F.col("id") != start)
-        for _ in range(max_levels):
-            reached = own.join(frontier.select(F.col("id").alias("here"), "visit"), "here")
-            reached = reached.groupBy(F.col("there").alias("id")).agg(F.min(F.concat("visit", F.array("seq"))).alias("visit"))
-            new = cut(reached.join(known, "id", "left_semi").join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth + 1).cast("long").alias("depth"), "visit"))
-            if new.isEmpty():
-                break
-            depth += 1
-            seen, frontier = seen.unionByName(new), new
-        else:
-            raise RuntimeError("the closure did not settle")
-    return seen
+        all_seen = {t: reduce(DataFrame.unionByName, frames) for t, frames in seen.items()}
+        frontier = all_seen if i == 0 else {t: f.where(F.col("id") != own) if t == table else f for t, f in all_seen.items()}
+        while frontier:
+            reached = _by_table([(there, e.join(frontier[here].select(F.col("id").alias("here"), "visit"), "here")) for here, there, e in _hop(edges, step, list(frontier))])
+            frontier = {}
+            for t, rows in reached.items():
+                first = rows.groupBy(F.col("there").alias("id")).agg(F.min(F.struct("visit", "seq")).alias("way")).join(nodes[t].select("id"), "id", "left_semi")
+                if t in seen:
+                    first = first.join(reduce(DataFrame.unionByName, seen[t]).select("id"), "id", "left_anti")
+                # Sorted by ranges, so that an id that rises over the partitions keeps the order and no task sorts a level.
+                new = first.orderBy("way").select("id", F.lit(depth + 1).cast("long").alias("depth"), F.monotonically_increasing_id().alias("visit"))
+                new = cut(new)
+                if not new.isEmpty():
+                    frontier[t] = new
+            for t, new in frontier.items():
+                seen.setdefault(t, []).append(new)
+            depth += bool(frontier)
+    whole = [reduce(DataFrame.unionByName, frames).select(_shown(t).alias("id"), "depth", "visit") for t, frames in seen.items()]
+    return reduce(DataFrame.unionByName, whole)

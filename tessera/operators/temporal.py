@@ -29,15 +29,18 @@ def records_as_of(log: DataFrame, columns: list[str], ts: int | None = None, hor
     return last.where("r.kind = 'INSERT'").select("id", *(F.col(f"r.{c}").alias(c) for c in columns), "created_at")
 
 
-def edges_as_of(log: DataFrame, ts: int | None = None) -> DataFrame:
-    """The RELATE rows up to ts whose ends were not forgotten later (up to ts)."""
+def edges_as_of(log: DataFrame, ts: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """The RELATE rows up to ts whose ends were not forgotten later (up to ts). by: columns within which ids are told apart."""
     if ts is not None:
         log = log.where(F.col("ts") <= ts)
-    gone = log.where("kind = 'FORGET'").groupBy("id").agg(F.max("ts").alias("gone"))
+    gone = log.where("kind = 'FORGET'").groupBy(*by, "id").agg(F.max("ts").alias("gone"))
     edges = log.where("kind = 'RELATE'")
     for end in ("src", "dst"):
-        late = gone.select(F.col("id").alias("_id"), F.col("gone").alias("_gone"))
-        edges = edges.join(late, (F.col(end) == F.col("_id")) & (F.col("_gone") > F.col("ts")), "left_anti")
+        late = gone.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("id").alias("_id"), F.col("gone").alias("_gone"))
+        met = (F.col(end) == F.col("_id")) & (F.col("_gone") > F.col("ts"))
+        for c in by:
+            met = met & (F.col(c) == F.col(f"_{c}"))
+        edges = edges.join(late, met, "left_anti")
     return edges
 
 
@@ -49,8 +52,12 @@ def history_since(log: DataFrame, ts: int, columns: list[str], horizon: int | No
     return own.select(F.concat(F.lit("history:"), F.col("ts").cast("string")).alias("id"), "ts", "kind", *subject, F.col("ts").cast("float").alias("score"))
 
 
-def compact(log: DataFrame, columns: list[str]) -> tuple[DataFrame, int | None]:
-    """(log with the last write of each live id only, horizon): reads at the horizon or later are as before."""
+def compact(log: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame, int | None]:
+    """(the rows of log that reads at the horizon or later need, horizon): declarations, the last write of each live id and live
+    edges, with all their columns and times. by: columns within which ids are told apart, such as the memory."""
     horizon = log.agg(F.max("ts")).first()[0]
-    live = records_as_of(log, columns)
-    return live.select(F.col("created_at").alias("ts"), F.lit("INSERT").alias("kind"), "id", *columns), horizon
+    last = log.where("kind in ('INSERT', 'FORGET')").groupBy(*by, "id").agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in log.columns)), "ts").alias("r"))
+    kept = last.select("r.*").where("kind = 'INSERT'").unionByName(log.where("kind = 'CREATE'"))
+    if {"src", "dst"} <= set(log.columns):
+        kept = kept.unionByName(edges_as_of(log, None, by).select(*(f"`{c}`" for c in log.columns)))
+    return kept, horizon

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EDGE = ["seq", "name", "src", "dst", "weight", "quantity", "returnflag"]
+from tessera.operators.graph import Edges
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,36 +22,32 @@ def vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(F.col("vec_id").alias("id"), "label", "embedding", (F.col("vec_id") + 1).alias("created_at"))
 
 
-def _key(kind: str, col: str):
-    return F.concat(F.lit(f"{kind}:"), F.col(col).cast("string"))
-
-
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record of the commerce graph by its display id, and the conversation turns."""
-    of = [("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"), ("orders", "o_orderkey"), ("part", "p_partkey"), ("supplier", "s_suppkey")]
-    frames = [table(spark, sf_dir, t).select(_key(t, c).alias("id")) for t, c in of]
-    turn = table(spark, sf_dir, "conversations").select(F.format_string("turn:c%d_t%d", "conv_id", "turn").alias("id"))
-    return reduce(DataFrame.unionByName, [*frames, turn])
+def nodes(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The records of the commerce graph by table, with their numeric ids, and the conversation turns."""
+    of = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "orders": "o_orderkey", "part": "p_partkey", "supplier": "s_suppkey"}
+    frames = {t: table(spark, sf_dir, t).select(F.col(c).alias("id")) for t, c in of.items()}
+    return frames | {"turn": table(spark, sf_dir, "conversations").select(F.format_string("c%d_t%d", "conv_id", "turn").alias("id"))}
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str) -> list[Edges]:
     """in_region, in_nation, placed, contains and follows_from, with seq as append order."""
-    none = F.lit(None).cast("double")
+    step = 10**13
 
-    def edge(frame, name, base, seq, src, dst, weight=none, quantity=none, flag=None):
-        flag = F.lit(None).cast("string") if flag is None else flag
-        return frame.select((F.lit(base) + seq).cast("long").alias("seq"), F.lit(name).alias("name"), src.alias("src"), dst.alias("dst"), weight.alias("weight"), quantity.alias("quantity"), flag.alias("returnflag"))
+    def edge(name: str, src: str, dst: str, frame: DataFrame, base: int, seq: Column, a: Column, b: Column, **props: Column) -> Edges:
+        props = {"weight": F.lit(None).cast("double")} | props
+        return Edges(name, src, dst, frame.select((F.lit(base) + seq).cast("long").alias("seq"), a.alias("src"), b.alias("dst"), *(c.alias(n) for n, c in props.items())))
 
     t = lambda name: table(spark, sf_dir, name)
-    turns = t("conversations").where("turn > 0")
-    step = 10**13
-    return reduce(DataFrame.unionByName, [
-        edge(t("nation"), "in_region", 0, F.col("n_nationkey"), _key("nation", "n_nationkey"), _key("region", "n_regionkey")),
-        edge(t("customer"), "in_nation", step, F.col("c_custkey"), _key("customer", "c_custkey"), _key("nation", "c_nationkey")),
-        edge(t("orders"), "placed", 2 * step, F.col("o_orderkey"), _key("customer", "o_custkey"), _key("orders", "o_orderkey")),
-        edge(t("lineitem"), "contains", 3 * step, F.col("l_orderkey") * 10 + F.col("l_linenumber"), _key("orders", "l_orderkey"), _key("part", "l_partkey"), F.col("l_discount"), F.col("l_quantity"), F.col("l_returnflag")),
-        edge(turns, "follows_from", 4 * step, F.col("conv_id") * 1000 + F.col("turn"), F.format_string("turn:c%d_t%d", "conv_id", "turn"), F.format_string("turn:c%d_t%d", F.col("conv_id"), F.col("turn") - 1)),
-    ])
+    c = F.col
+    return [
+        edge("in_region", "nation", "region", t("nation"), 0, c("n_nationkey"), c("n_nationkey"), c("n_regionkey")),
+        edge("in_nation", "customer", "nation", t("customer"), step, c("c_custkey"), c("c_custkey"), c("c_nationkey")),
+        edge("placed", "customer", "orders", t("orders"), 2 * step, c("o_orderkey"), c("o_custkey"), c("o_orderkey")),
+        edge("contains", "orders", "part", t("lineitem"), 3 * step, c("l_orderkey") * 10 + c("l_linenumber"), c("l_orderkey"), c("l_partkey"),
+             weight=c("l_discount"), quantity=c("l_quantity"), returnflag=c("l_returnflag")),
+        edge("follows_from", "turn", "turn", t("conversations").where("turn > 0"), 4 * step, c("conv_id") * 1000 + c("turn"),
+             F.format_string("c%d_t%d", "conv_id", "turn"), F.format_string("c%d_t%d", c("conv_id"), c("turn") - 1)),
+    ]
 
 
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
