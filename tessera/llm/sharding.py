@@ -59,14 +59,14 @@ def communication_matrix(cells: list[int], shards: list[int], seed: int) -> list
     return matrix
 
 
-def _matrix_table(spark: SparkSession, cells: list[int], matrix: list[list[int]]) -> DataFrame:
+def _matrix_table(spark: SparkSession, cells: list[int], matrix: list[list[int]], cell_name: str, upto_name: str) -> DataFrame:
     running = []
     for cell, row in zip(cells, matrix, strict=True):
         upto = [0]
         for n in row:
             upto.append(upto[-1] + n)
-        running.append({"_cell": cell, "_upto": upto[1:]})
-    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(running)), "array<struct<_cell:int,_upto:array<bigint>>>")))
+        running.append({cell_name: cell, upto_name: upto[1:]})
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(running)), f"array<struct<{cell_name}:int,{upto_name}:array<bigint>>>")))
 
 
 def hypergeometric_shuffle(df: DataFrame, n_shards: int, seed: int = 0, bucket_rows: int = 200_000) -> DataFrame:
@@ -74,32 +74,37 @@ def hypergeometric_shuffle(df: DataFrame, n_shards: int, seed: int = 0, bucket_r
 
     Nulls in any column, repeated rows and empty or very long values ride along untouched: a row's place hangs on its
     position in the scan alone, so a key or text that fills a third of the table spreads like any other. An empty table
-    gives no rows. Columns named shard, slot or _cell, _row, _key, _bucket in df are replaced. The same files and seed
-    give the same shards. bucket_rows: rows that one task sorts for slots; more shards' buckets, not longer tasks, at scale.
+    gives no rows. Columns named shard or slot in df are replaced, all others kept, whatever their names. The same files and
+    seed give the same shards. A cell is one scan partition, so a task sorts no more rows as the input grows, as long as the
+    partitions are MATRIX_CELLS / n_shards at most. bucket_rows: rows that one task sorts for slots; more shards' buckets,
+    not longer tasks, at scale.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
-    own = {"shard", "slot", "_cell", "_row", "_key", "_bucket", "_upto", "_before"}
-    kept = [f"`{c}`" for c in df.columns if c.lower() not in own]
-    most_cells = max(1, min(4096, MATRIX_CELLS // n_shards))
-    placed = df.select(*kept, F.pmod(F.spark_partition_id(), F.lit(most_cells)).alias("_cell"), F.monotonically_increasing_id().alias("_row"))
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in df.columns):  # names that the caller's columns don't have
+        mark += "_"
+    cell, row, key, upto, at, bucket, before, place = (mark + x for x in ("cell", "row", "key", "upto", "at", "bucket", "before", "in"))
+    kept = [f"`{c}`" for c in df.columns if c.lower() not in ("shard", "slot")]
+    most_cells = max(1, MATRIX_CELLS // n_shards)
+    placed = df.select(*kept, F.pmod(F.spark_partition_id(), F.lit(most_cells)).alias(cell), F.monotonically_increasing_id().alias(row))
     placed = materialize(placed, "shuffle", "zstd")
-    found = sorted((r[0], r[1]) for r in placed.groupBy("_cell").count().collect())  # most_cells rows at most
+    found = sorted((r[0], r[1]) for r in placed.groupBy(cell).count().collect())  # most_cells rows at most
     n = sum(c for _, c in found)
     sizes = [n // n_shards + (s < n % n_shards) for s in range(n_shards)]
-    matrix = _matrix_table(df.sparkSession, [c for c, _ in found], communication_matrix([c for _, c in found], sizes, seed))
+    matrix = _matrix_table(df.sparkSession, [c for c, _ in found], communication_matrix([c for _, c in found], sizes, seed), cell, upto)
 
-    within = Window.partitionBy("_cell").orderBy("_key", "_row")
+    within = Window.partitionBy(cell).orderBy(key, row)
     dealt = (
-        placed.withColumn("_key", F.xxhash64(F.lit(seed), F.lit("cell"), "_row"))
-        .withColumn("_at", F.row_number().over(within) - 1)
-        .join(F.broadcast(matrix), "_cell")
-        .withColumn("shard", F.size(F.filter("_upto", lambda u: u <= F.col("_at"))))
+        placed.withColumn(key, F.xxhash64(F.lit(seed), F.lit("cell"), row))
+        .withColumn(at, F.row_number().over(within) - 1)
+        .join(F.broadcast(matrix), cell)
+        .withColumn("shard", F.size(F.filter(upto, lambda u: u <= F.col(at))))
     )
     buckets = max(1, math.ceil(n / n_shards / bucket_rows))
-    dealt = dealt.select(*kept, "_row", "shard", F.pmod(F.xxhash64(F.lit(seed), F.lit("bucket"), "_row"), F.lit(buckets)).alias("_bucket"))
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("shard", "_bucket").count().select("shard", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    again = Window.partitionBy("shard", "_bucket").orderBy(F.xxhash64(F.lit(seed), F.lit("slot"), "_row"), "_row")
-    out = dealt.withColumn("_in", F.row_number().over(again) - 1).join(starts, ["shard", "_bucket"])
-    return out.select(*kept, F.col("shard").cast("int"), (F.col("_before") + F.col("_in")).cast("long").alias("slot"))
+    dealt = dealt.select(*kept, row, "shard", F.pmod(F.xxhash64(F.lit(seed), F.lit("bucket"), row), F.lit(buckets)).alias(bucket))
+    earlier = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("shard", bucket).count().select("shard", bucket, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias(before))
+    again = Window.partitionBy("shard", bucket).orderBy(F.xxhash64(F.lit(seed), F.lit("slot"), row), row)
+    out = dealt.withColumn(place, F.row_number().over(again) - 1).join(starts, ["shard", bucket])
+    return out.select(*kept, F.col("shard").cast("int"), (F.col(before) + F.col(place)).cast("long").alias("slot"))
