@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm._shared import materialize
 
@@ -39,31 +40,47 @@ def code_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def tile_top(q_ids, q, c_ids, c, k: int, strip: int = 4096):
-    """(query row, candidate row, score) of each query's k best in one tile, by score, then id."""
-    out = []
+def tile_top(q_ids, q, c_ids, c, k: int, strip: int = 2048):
+    """(query row, candidate row, score) of each query's k best in one tile, by score, then id.
+
+    Candidates come a strip at a time. The k best lower bounds so far are each query's bar; pairs whose upper bound reaches it
+    are computed in double precision and held, at most k a query from one strip to the next.
+    """
+    n, up = len(q), 1 + 1e-9
     qc, qs, qn, qe = quantise(q)
-    parts = [(at, quantise(c[at : at + strip])) for at in range(0, len(c), strip)]
-    lows, ups = [], []
-    for at, (cc, cs, cn, ce) in parts:
+    bars, held = np.full((n, k), -np.inf), [(np.empty(0, np.int64), np.empty(0)) for _ in range(n)]
+    for at in range(0, len(c), strip):
+        ids, own = c_ids[at : at + strip], c[at : at + strip]
+        cc, cs, cn, ce = quantise(own)
         dot = code_products(qc, cc) * qs[:, None] * cs[None, :]
-        err = (qn[:, None] * ce + qe[:, None] * cn + qe[:, None] * ce) * (1 + 1e-9) + 1e-300 + 1e-12 * (qn[:, None] * cn)
-        own = q_ids[:, None] == c_ids[None, at : at + strip]
-        lows.append(np.where(own, -np.inf, dot - err))
-        ups.append(np.where(own, -np.inf, dot + err))
-    low, up = np.hstack(lows), np.hstack(ups)
-    bar = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k] if low.shape[1] > k else np.full(len(q), -np.inf)
-    for i in range(len(q)):
-        rows = np.flatnonzero((up[i] >= bar[i]) & (up[i] > -np.inf))
-        score = (c[rows] * q[i]).sum(axis=1)
-        best = np.lexsort((c_ids[rows], -score))[:k]
-        out.append((np.full(len(best), q_ids[i]), c_ids[rows[best]], score[best]))
-    return (np.concatenate([o[j] for o in out]) for j in range(3))
+        err = (qn[:, None] * ce + qe[:, None] * cn + qe[:, None] * ce) * up + 1e-300 + 1e-12 * (qn[:, None] * cn)
+        err[q_ids[:, None] == ids[None, :]] = np.nan  # a query is no candidate of its own
+        low = np.where(np.isnan(err), -np.inf, dot - err)
+        best = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k :] if low.shape[1] > k else low
+        bars = np.sort(np.hstack([bars, best]), axis=1)[:, -k:]
+        for i, j in enumerate(dot + err >= bars[:, :1]):
+            rows = np.flatnonzero(j)
+            if len(rows):
+                some, score = np.concatenate([held[i][0], ids[rows]]), np.concatenate([held[i][1], (own[rows] * q[i]).sum(axis=1)])
+                first = np.lexsort((some, -score))[:k]
+                held[i] = some[first], score[first]
+    return np.repeat(q_ids, [len(h[0]) for h in held]), *(np.concatenate([h[m] for h in held]) for m in (0, 1))
+
+
+def _matrix(column: pa.ChunkedArray, width: str) -> np.ndarray:
+    blobs = column.to_pylist()
+    return np.frombuffer(b"".join(blobs), width).reshape(len(blobs), -1).astype(np.float64)
+
+
+def _packed(width: str):
+    """(id, v, dim) with the vector as bytes, of single precision where the table has no more: half of what the tiles exchange."""
 
+    def run(batches):
+        for b in batches:
+            rows = [np.asarray(v.values, width) for v in b.column(1)]
+            yield pa.record_batch([b.column(0), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array([len(r) for r in rows], pa.int32())], ["id", "v", "dim"])
 
-def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
-    flat = np.concatenate([np.asarray(ch.flatten()) for ch in column.chunks]) if n else np.empty(0)
-    return flat.reshape(n, -1).astype(np.float64)
+    return run
 
 
 def top_inner_products(
@@ -74,14 +91,15 @@ def top_inner_products(
     Nearest first, ties to the smaller id; all candidates where there are fewer. Vectors that are null, empty, zero or hold
     null or non-finite components take no part, nor do null ids. Rows that repeat an id count once (of differing vectors
     the smallest, as arrays compare), so a query never meets its own id. Vectors of different lengths aren't compared.
-    A tile holds block_rows queries and stripe_rows candidates, whatever the table's size; equal vectors spread over
-    stripes by id.
+    A tile holds block_rows queries and stripe_rows candidates, whatever the table's size, and works on them a strip at a time;
+    equal vectors spread over stripes by id. An empty table gives no rows; other columns aren't read.
     """
     v = F.col("v")
     whole = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).where(
         F.col("id").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     )
-    whole = materialize(whole.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")), "vectors")
+    width = "<f4" if vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType(), vectors.schema[vector_col].dataType.containsNull) else "<f8"
+    whole = materialize(whole.groupBy("id").agg(F.min("v").alias("v")).mapInArrow(_packed(width), "id long, v binary, dim int"), "vectors")
     is_query = F.col("id") % every == 0
     n, n_q = whole.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     stripes, blocks = max(1, math.ceil(n / stripe_rows)), max(1, math.ceil(n_q / block_rows))
@@ -94,7 +112,7 @@ def top_inner_products(
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         none = not left.num_rows or not right.num_rows
         q, c, s = ([], [], []) if none else tile_top(
-            np.asarray(left["id"]), _matrix(left["v"], left.num_rows), np.asarray(right["c_id"]), _matrix(right["c_v"], right.num_rows), k
+            np.asarray(left["id"]), _matrix(left["v"], width), np.asarray(right["c_id"]), _matrix(right["c_v"], width), k
         )
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(c, pa.int64()), "score": pa.array(s, pa.float64())})
 
