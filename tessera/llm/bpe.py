@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._shared import text_batches, tidied
+
 #: Words whose ids a task keeps from batch to batch; a full table is emptied, which costs time but changes nothing.
 KEPT_WORDS = 300_000
 
@@ -93,16 +95,21 @@ class MergeReplay:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_loaded: dict[int, MergeReplay] = {}
+#: The vocabulary that this worker used last, by the digest of its file.
+_loaded: dict[bytes, MergeReplay] = {}
 
 
-def _texts(batches: Iterator[pa.RecordBatch], raw, pattern: str, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], MergeReplay]]:
-    """Slices of about `most` characters (one text at least) with the ids of each text."""
-    key = id(raw)
+def _replay(raw: bytes) -> MergeReplay:
+    key = hashlib.sha256(raw).digest()
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = MergeReplay(parse_ranks(raw.value))
-    replay, split, known = _loaded[key], regex.compile(pattern), {}
+        _loaded[key] = MergeReplay(parse_ranks(raw))
+    return _loaded[key]
+
+
+def _texts(batches: Iterator[pa.RecordBatch], raw, pattern: str, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], MergeReplay]]:
+    """Slices of about `most` characters (one text at least) with the ids of each text."""
+    replay, split, known = _replay(raw.value), regex.compile(pattern), {}
     for batch in batches:
         texts, start = batch.column(1).to_pylist(), 0
         while start < len(texts):
@@ -127,6 +134,7 @@ def _load(docs: DataFrame, ranks_path: str):
 
 
 def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
 
@@ -145,7 +153,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             listed = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat.astype("int64"))).cast(pa.list_(pa.int64()))
             yield pa.record_batch([rows.column(0), listed, pa.array(np.diff(ends), pa.int64())], ["doc_id", "ids", "n_tokens"])
 
-    return _own(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<long>, n_tokens long")
+    return _own(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id long, ids array<long>, n_tokens long")
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -153,7 +161,7 @@ def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     raw = _load(encoded, ranks_path)
 
     def run(batches):
-        replay = MergeReplay(parse_ranks(raw.value))
+        replay = _replay(raw.value)
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array([None if i is None else replay.decode(i) for i in b.column(1).to_pylist()], pa.binary())], ["doc_id", "bytes"])
 
@@ -171,4 +179,4 @@ def bpe_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids]), pa.array([hashlib.sha256(replay.decode(i.tolist())).hexdigest() for i in ids]),
             ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _own(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _own(docs, "doc_id", "text").mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

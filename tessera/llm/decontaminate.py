@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import materialize, small
+from tessera.llm._shared import materialize, small, text_batches, tidied
 
 U64 = np.uint64
 
@@ -90,7 +90,7 @@ def encode_documents(docs: DataFrame, vocabulary: pa.Array) -> DataFrame:
                 codes = np.asarray(pc.fill_null(pc.index_in(words, value_set=vocabulary), -1)).astype(width)
                 yield pa.record_batch([piece.column(0), pa.array([codes[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["doc_id", "codes"])
 
-    return docs.mapInArrow(run, "doc_id long, codes binary")
+    return docs.mapInArrow(tidied(run), "doc_id long, codes binary")
 
 
 def _codes(column: pa.Array, n_words: int) -> list[np.ndarray]:
@@ -251,7 +251,7 @@ def latent_basis(encoded: DataFrame, items: Items, idf: np.ndarray, seed: int =
             count[0] = n_windows
             yield pa.record_batch([pa.array([v], pa.int32()), pa.array([count.tobytes()], pa.binary())], ["word", "part"])
 
-        total = _sum_by_word(encoded.select("codes").mapInArrow(run, "word int, part binary"), v + 1, width)
+        total = _sum_by_word(encoded.select("codes").mapInArrow(tidied(run), "word int, part binary"), v + 1, width)
         n_windows, total = float(total[v, 0]), total[:v]
         part, n_own = np.zeros_like(total), 0
         for s in stretches(cut):  # a passage is one window at most
@@ -439,6 +439,20 @@ class _Checker:
 _SCHEMA = "doc_id long, item_id long, cosine double, lcs_words long, item_words long, answer_share double, word_start long"
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], v: int, most: int = 3_000_000) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
+    """Ids and codes of batches put together up to about `most` words, as the comparison with an item pays for many at once."""
+    ids, docs, size = [], [], 0
+    for batch in batches:
+        ids += batch.column(0).to_pylist()
+        docs += _codes(batch.column(1), v)
+        size += sum(map(len, docs[len(docs) - batch.num_rows :]))
+        if size >= most:
+            yield ids, docs
+            ids, docs, size = [], [], 0
+    if ids:
+        yield ids, docs
+
+
 def _search(spark, items: Items, idf: np.ndarray, counts: np.ndarray, basis: np.ndarray):
     """Both ways to the candidates, by the space and by rarer words, and the check of each."""
     v, word_vectors = len(idf), (basis * idf[:, None]).astype(np.float32)
@@ -452,9 +466,8 @@ def _search(spark, items: Items, idf: np.ndarray, counts: np.ndarray, basis: np.
         item_ids, item_codes, idf, basis, latent, owner_of, first_passage, postings = shared.value
         checker = _Checker(item_codes, (basis * idf[:, None]).astype(np.float32), latent, first_passage)
         furthest, n_items = max(int(2 * p.before.max() + 2) for p in postings), len(item_ids)
-        for batch in batches:
+        for ids, docs in _gathered(batches, v):
             rows: dict[tuple[int, int], tuple] = {}
-            ids, docs = batch.column(0).to_pylist(), _codes(batch.column(1), v)
             widest = max(map(len, docs), default=0) // HALF + 2
             found = [np.empty(0, np.int64)]  # item, document and window in one number
             for s in stretches(docs):
@@ -492,6 +505,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     to the driver ITEMS_A_PASS items at a time; documents are read once for each such pass, whatever their length.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null").distinct()
     passes, found = max(1, math.ceil(items.count() / ITEMS_A_PASS)), None
@@ -504,7 +518,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         counts, n_docs = document_frequencies(encoded, len(some.vocabulary))
         idf = word_weights(counts, n_docs)
         basis = latent_basis(encoded, some, idf)
-        one = encoded.mapInArrow(_search(spark, some, idf, counts, basis), _SCHEMA)
+        one = encoded.mapInArrow(tidied(_search(spark, some, idf, counts, basis)), _SCHEMA)
         found = one if found is None else found.unionByName(one)
     return spark.createDataFrame([], _SCHEMA) if found is None else found
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import BROADCAST_ROWS, materialize, small
+from tessera.llm._shared import BROADCAST_ROWS, materialize, small, text_batches, tidied
 from tessera.llm.jaccard import shingle_sets
 
 _NEXT = re.compile(r"<(?:!--|[A-Za-z/!?])")
@@ -369,9 +369,10 @@ def main_text(pages: DataFrame, min_pages: int = 5, min_share: float = 0.3, in_t
     counts under the empty host; null ids stay null, repeated rows are repeated, other columns aren't read. Pages are read
     in time linear in their length, whatever their nesting or unclosed tags.
     """
+    text_batches(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract("url", _HOST, 1)), F.lit(""))
     own = pages.select(F.col("page_id").cast("long"), "url", host.alias("host"), "html")
-    parsed = materialize(own.mapInArrow(_parse(marks), f"page_id long, url string, host string, {_SEEN}, {_TREE}"), "pages", "zstd")
+    parsed = materialize(own.mapInArrow(tidied(_parse(marks)), f"page_id long, url string, host string, {_SEEN}, {_TREE}"), "pages", "zstd")
     section = F.regexp_extract("url", _SECTION, 1)
     sites = F.when(section != "", F.array("host", F.concat("host", F.lit("/"), section))).otherwise(F.array("host"))
     placed = parsed.withColumn("sites", F.coalesce(sites, F.array("host")))

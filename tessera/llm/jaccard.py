@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import connected_components, materialize, small
+from tessera.llm._shared import connected_components, give_back, materialize, small, text_batches, tidied
 
 U64 = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U64)
@@ -329,6 +329,8 @@ def _verify(k: int, num: int, den: int):
         ids = table["doc_id"].to_pylist()
         sets = [x for b in table.select(["text"]).to_batches() for piece in _slices(b, 0) for x in shingle_sets(piece.column(0), k)]
         links = spanning_links(ids, linked_pairs(sets, num, den)) if len(ids) > 1 else []
+        del sets
+        give_back()
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return run
@@ -344,9 +346,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     hashes are. Equal texts of one task sign once, so copies of a third of the table cost no more than a few.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     targets = TARGETS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sketch = materialize(own.mapInArrow(_sketch(k, num, den, targets), _SCHEMA), "sketch")
+    sketch = materialize(own.mapInArrow(tidied(_sketch(k, num, den, targets)), _SCHEMA), "sketch")
     rows = sketch.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), "n", "d1", "d2")
 
     # Equal sets: a star around the least id, from partial minima; ids of classes of one stay out.

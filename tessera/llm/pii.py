@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._shared import text_batches, tidied
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
@@ -272,7 +274,8 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long, n_spans long"
-    return own.mapInArrow(lambda it: _scan(it, False), schema)
+    text_batches(docs.sparkSession)
+    return own.mapInArrow(tidied(lambda it: _scan(it, False)), schema)
 
 
 def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -285,5 +288,6 @@ def redact_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
             (clean,) = _scan(iter([pa.record_batch([b.column(at), b.column(at)], ["row", "text"])]), True)
             yield pa.RecordBatch.from_arrays([clean.column(1) if i == at else b.column(i) for i in range(len(names))], names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    text_batches(docs.sparkSession)
+    return docs.mapInArrow(tidied(run), docs.schema)
 

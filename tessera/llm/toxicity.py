@@ -17,8 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The chain's order. The labels table gives quality and toxic; the last category is both faults at once.
-CHAIN = ("low_quality", "toxic", "toxic_low_quality")
+from tessera.llm._shared import text_batches, tidied
+
+#: The chain in its order: a category and what says so in a row of labels. Abuse in junk texts is a category of its own, which
+#: reads the two before it; a document is toxic by either kind.
+CHAIN = {"low_quality": "quality = 0", "toxic": "toxic = 1", "toxic_low_quality": "toxic = 1 and quality = 0"}
+TOXIC = ("toxic", "toxic_low_quality")
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+")
 #: Labelled rows that fitting reads at most, the smallest by a hash of the id.
 MAX_LABELLED = 10_000
@@ -124,30 +128,30 @@ def fit_chain(codes: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) ->
     return models
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Linear]:
-    """The chain, fitted on at most max_labelled labelled documents.
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, chain: dict[str, str] | None = None) -> list[Linear]:
+    """The chain, fitted on at most max_labelled labelled documents. chain: conditions on the labels' columns by category, in order.
 
-    Labels that are null or have no document, and null ids, take no part; an id labelled twice counts as toxic, or of low
-    quality, if any of its labels says so; of repeated documents the smallest text counts. Without labels of both kinds a model is constant.
+    Labels that have a null where a category looks, or no document, and null ids, take no part; an id labelled twice is in a
+    category if any of its labels says so; of repeated documents the smallest text counts. Without labels of both kinds a
+    model is constant. Empty tables give constant models; columns that clash with the categories' names do no harm.
     """
-    chosen = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").dropna()
-        .groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("low"), F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    )
+    text_batches(docs.sparkSession)
+    chain = chain or CHAIN
+    flags = [f"_{k}" for k in range(len(chain))]
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.expr(c).cast("int").alias(f) for f, c in zip(flags, chain.values(), strict=True))).dropna()
+    chosen = known.groupBy("doc_id").agg(*(F.max(f).alias(f) for f in flags)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "low", "toxic").agg(F.min("text").alias("text"))
+    rows = own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *flags).agg(F.min("text").alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            codes = [np.unique(np.fromiter((c for w in words(t) for c in codes_of(w)), "<u4")) for t in b.column(3).to_pylist()]
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array([c.tobytes() for c in codes], pa.binary())], ["doc_id", "low", "toxic", "codes"])
+            codes = [np.unique(np.fromiter((c for w in words(t) for c in codes_of(w)), "<u4")) for t in b.column(len(flags) + 1).to_pylist()]
+            yield pa.record_batch([*b.columns[:-1], pa.array([c.tobytes() for c in codes], pa.binary())], ["doc_id", *flags, "codes"])
 
-    got = rows.mapInArrow(encode, "doc_id long, low int, toxic int, codes binary").toArrow().sort_by("doc_id")  # max_labelled rows at most
-    low, toxic = (np.asarray(got[c]).astype(int) for c in ("low", "toxic"))
+    got = rows.mapInArrow(tidied(encode), f"doc_id long, {', '.join(f'{f} int' for f in flags)}, codes binary").toArrow().sort_by("doc_id")  # max_labelled rows at most
     codes = [np.frombuffer(c, "<u4") for c in got["codes"].to_pylist()]
     folds = np.array([zlib.crc32(str(i).encode()) % FOLDS for i in got["doc_id"].to_pylist()], int)
-    return fit_chain(codes, np.column_stack([low, toxic, low & toxic]), folds)
+    return fit_chain(codes, np.column_stack([np.asarray(got[f]).astype(int) for f in flags]), folds)
 
 
 class Scorer:
@@ -190,30 +194,43 @@ class Scorer:
         return out
 
 
-def score(docs: DataFrame, models: list[Linear], threshold: float = 0.5) -> DataFrame:
-    """(doc_id, p_low_quality, p_toxic, p_toxic_low_quality, toxic) for every row; toxic: p_toxic is threshold or more.
+def _found(p: np.ndarray, chain: tuple[str, ...], toxic: tuple[str, ...], threshold: float) -> np.ndarray:
+    """How many of the toxic categories each text is in."""
+    return (p[:, [chain.index(c) for c in toxic]] >= threshold).sum(axis=1)
+
+
+def score(docs: DataFrame, models: list[Linear], threshold: float = 0.5, chain: tuple[str, ...] = tuple(CHAIN), toxic: tuple[str, ...] = TOXIC) -> DataFrame:
+    """(doc_id, a probability p_ for each category of the chain, n_toxic, toxic) for every row.
 
-    A null or empty text has no words and gets the models' base rates; null ids stay null; repeated rows are repeated.
+    n_toxic: categories of `toxic` with a probability of threshold or more; toxic: any. A null or empty text has no words and
+    gets the models' base rates; null ids stay null; repeated rows are repeated; other columns aren't read; whole texts are
+    read, a slice of rows at a time. No rows give none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(models)
         for b in batches:
             p = scorer(b.column(1).to_pylist())
-            yield pa.record_batch([b.column(0), *(pa.array(p[:, k]) for k in range(3)), pa.array(p[:, 1] >= threshold)], ["doc_id", *(f"p_{c}" for c in CHAIN), "toxic"])
+            n = _found(p, chain, toxic, threshold)
+            yield pa.record_batch([b.column(0), *(pa.array(p[:, k]) for k in range(len(chain))), pa.array(n, pa.int64()), pa.array(n > 0)], ["doc_id", *(f"p_{c}" for c in chain), "n_toxic", "toxic"])
 
+    text_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return own.mapInArrow(run, "doc_id long, " + ", ".join(f"p_{c} double" for c in CHAIN) + ", toxic boolean")
+    return own.mapInArrow(tidied(run), "doc_id long, " + ", ".join(f"p_{c} double" for c in chain) + ", n_toxic long, toxic boolean")
 
 
-def drop_toxic(docs: DataFrame, models: list[Linear], threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that score() doesn't call toxic, with all their columns."""
+def drop_toxic(docs: DataFrame, models: list[Linear], threshold: float = 0.5, chain: tuple[str, ...] = tuple(CHAIN), toxic: tuple[str, ...] = TOXIC) -> DataFrame:
+    """The rows of docs that score() doesn't call toxic, with all their columns, whatever these are called.
+
+    Null and empty texts are judged by the models' base rates; rows without an id and repeated rows are judged each by its text.
+    """
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(models)
         for b in batches:
-            p = scorer(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays(b.filter(pa.array(p[:, 1] < threshold)).columns, names=names)
+            n = _found(scorer(b.column(at).to_pylist()), chain, toxic, threshold)
+            yield pa.RecordBatch.from_arrays(b.filter(pa.array(n == 0)).columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    text_batches(docs.sparkSession)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -17,7 +17,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import materialize, new_path
+from tessera.llm._shared import materialize, new_path, text_batches
 
 DATE = "1970-01-01T00:00:00Z"  # records carry no clock time, so that archives are reproducible
 CHUNK = 1 << 20
@@ -67,15 +67,18 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def inflated(stream) -> Iterator[bytes]:
-    """The bytes of a gzip file of one member or many, a chunk at a time."""
-    z, raw = zlib.decompressobj(GZIP), stream.read(CHUNK)
+    """The bytes of a gzip file of one member or many, a chunk at a time. A file cut before a member's trailer is an error."""
+    z, raw, begun = zlib.decompressobj(GZIP), stream.read(CHUNK), False
     while raw:
+        begun = True
         if piece := z.decompress(raw, CHUNK):
             yield piece
         raw = z.unconsumed_tail
         if z.eof:
-            raw, z = z.unused_data, zlib.decompressobj(GZIP)
+            raw, z, begun = z.unused_data, zlib.decompressobj(GZIP), False
         raw = raw or stream.read(CHUNK)
+    if begun:
+        raise ValueError("the archive ends inside a gzip member")
 
 
 class _Writer:
@@ -88,12 +91,22 @@ class _Writer:
         self.out = self.fs.open_output_stream(self.part, compression=None)
 
     def done(self) -> None:
+        """Where another attempt was first and the store doesn't replace files, that one stays: both wrote the same bytes."""
         self.out.close()
-        self.fs.move(self.part, self.path)
+        try:
+            self.fs.move(self.part, self.path)
+        except OSError:
+            if self.fs.get_file_info(self.path).type != fs.FileType.File:
+                raise
+            self.fs.delete_file(self.part)
 
 
 def write_monolithic(pages: DataFrame, folder: str, level: int = 1) -> DataFrame:
-    """(path, n_records): each partition's rows (page_id, url, payload, digest, refers_to) as one gzip stream in one file."""
+    """(path, n_records): each partition's rows (page_id, url, payload, digest, refers_to) as one gzip stream in one file.
+
+    A null payload is empty, a null url an empty target, a null page_id an empty header; rows with refers_to are revisits
+    without payload. Equal rows make equal records; a partition without rows writes no file; other columns aren't read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -121,7 +134,9 @@ def normalise(archives: DataFrame, level: int = 6) -> DataFrame:
     """(path, index_path, n_records): each archive of column path rewritten with a gzip member a record, and its index.
 
     The whole-file stream is inflated once, in chunks. The index is a JSON line a record: offset, length, type, id.
-    Archives that already have a member a record come out the same.
+    Archives that already have a member a record come out the same. An archive cut short, or not of WARC records, fails the
+    job; one without records gives empty files; a path that repeats is written once more, to the same bytes. A record may be
+    as large as a task's memory. No rows give no files.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +168,7 @@ def read_members(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of normalised archives (path, index_path), each read at its offset of the index.
 
     A stored payload must have the length and SHA-1 that its headers give, or the job fails. payloads=False leaves them out.
+    Revisits have no payload; an empty page header is a null page_id; paths that repeat are read each time; no rows give none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,6 +229,7 @@ def warc_round_trip(pages: DataFrame, folder: str | None = None, min_bytes: int
     read. Archives are as large as the partitions of pages.
     """
     spark = pages.sparkSession
+    text_batches(spark)
     folder = folder or new_path(spark, "warc")
     if "://" not in folder and not folder.startswith("file:"):
         folder = f"file://{folder}"

@@ -320,3 +320,114 @@ def test_shingles_of_odd_texts():
     texts = ["A b\x0bc", "a B  c ", "a b c", "x", None, "", "é É z"]
     a, b, c, x, none, empty, e = jaccard.shingle_sets(pa.array(texts), 3)
     assert (a == b).all() and len(c) == 1 and c[0] != a[0] and len(x) == 1 and len(none) == len(empty) == 0 and len(e) == 1
+
+
+# ---- clashes, cuts, vocabularies, held-out accuracy ----
+def test_shards_keep_columns_of_any_name(spark):
+    names = ["_at", "_in", "_row", "_key", "_bucket", "_upto", "_before", "_cell", "__row", "Slot"]
+    df = spark.createDataFrame([tuple(1000 * (k + 1) + i for k in range(len(names))) for i in range(50)], ", ".join(f"`{n}` int" for n in names)).repartition(3)
+    out = sharding.hypergeometric_shuffle(df, 4)
+    assert out.columns == [*names[:-1], "shard", "slot"]
+    assert sorted(tuple(r)[:9] for r in out.collect()) == sorted(tuple(r)[:9] for r in df.collect())
+
+
+def test_a_cut_archive_is_an_error(tmp_path):
+    import gzip
+    import io
+
+    whole = gzip.compress(warc.record_bytes("response", "u", b"x" * 5000, 5000, "d", {}))
+    assert len(b"".join(warc.inflated(io.BytesIO(whole)))) > 5000
+    for cut in (len(whole) - 1, len(whole) - 8, len(whole) // 2):
+        with pytest.raises(ValueError, match="ends inside"):
+            list(warc.inflated(io.BytesIO(whole[:cut])))
+    assert list(warc.inflated(io.BytesIO(b""))) == []
+
+
+def test_a_file_that_is_there_already_stays(tmp_path, monkeypatch):
+    first = warc._Writer(f"file://{tmp_path}/x/a.gz")
+    first.out.write(b"one")
+    first.done()
+    again = warc._Writer(f"file://{tmp_path}/x/a.gz")
+    again.out.write(b"one")
+
+    class Strict:  # a store that doesn't replace files
+        def __init__(self, fs):
+            self.fs = fs
+
+        def move(self, a, b):
+            raise OSError("the target exists")
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    again.fs = Strict(again.fs)
+    again.done()
+    assert [p.name for p in (tmp_path / "x").iterdir()] == ["a.gz"]
+
+
+def test_two_vocabularies_in_one_worker(spark):
+    import base64
+
+    from tessera.llm import bpe
+
+    lines = [base64.b64encode(bytes([b])) + b" %d" % b for b in range(256)]
+    raw = [b"\n".join([*lines, base64.b64encode(pair) + b" 256"]) for pair in (b"ab", b"bc")]
+    for k in range(20):
+        replay = bpe._replay(bytes(bytearray(raw[k % 2])))  # an object of its own each time
+        assert [len(x) for x in replay.encode([b"abd", b"bcd"])] == [[2, 3], [3, 2]][k % 2]
+
+
+def test_empty_tables(spark):
+    import public_tokenizers
+
+    from tessera.llm import bpe, licenses, pii
+    from tessera.llm.queries import RANKS
+
+    none = spark.createDataFrame([], "doc_id long, text string")
+    path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    assert bpe.bpe_digests(none, path, pattern).collect() == [] and bpe.bpe_decode(bpe.bpe_encode(none, path, pattern), path).collect() == []
+    assert licenses.license_scan(none).collect() == [] and pii.redact_pii(none).collect() == []
+    assert warc.warc_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+    models = toxicity.train(none, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert toxicity.score(none, models).collect() == [] and toxicity.drop_toxic(none, models).collect() == []
+    assert jaccard.keep_one(none).collect() == []
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randint(0, 9000)}" for _ in range(300_000))
+    item = " ".join(f"q{k} w{k}" for k in range(20))
+    rows = [(1, long), (2, long + " end"), (3, f"{long} {item} {long}"), (4, "n1 n2 idiot moron scumbag")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4} or got == {1: 1, 2: 1, 3: 1, 4: 4}
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.benchmark_leaks(df, bench).collect()} == {(3, 7)}
+    models = toxicity.train(*(spark.createDataFrame(x, s) for x, s in zip(labelled(random.Random(4), 400), ("doc_id long, text string", "doc_id long, quality int, toxic int"), strict=True)))
+    assert {r.doc_id for r in toxicity.score(df, models).collect() if r.toxic} == {4}
+
+
+def test_scores_equal_a_plain_reckoning(spark):
+    rows, labels = labelled(random.Random(14), 500)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    models = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r for r in toxicity.score(docs, models).collect()}
+    for i, text in rows:
+        have, earlier = {c for w in toxicity.words(text) for c in toxicity.codes_of(w)}, []
+        for m in models:  # each link reads the links before it
+            z = m.bias + sum(w for c, w in zip(m.codes.tolist(), m.weights) if c in have) + sum(e * w for e, w in zip(earlier, m.extra, strict=True))
+            earlier.append(1 / (1 + np.exp(-z)))
+        assert np.allclose([got[i].p_low_quality, got[i].p_toxic, got[i].p_toxic_low_quality], earlier, atol=1e-9)
+        assert got[i].n_toxic == sum(p >= 0.5 for p in earlier[1:]) and got[i].toxic == (got[i].n_toxic > 0)
+
+
+def test_toxic_documents_of_the_tables_held_out(spark):
+    data = "/root/testdata/sf0.1"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    models = toxicity.train(docs, labels.where("pmod(xxhash64(doc_id), 5) <> 0"))
+    held = labels.where("pmod(xxhash64(doc_id), 5) = 0").select("doc_id", (labels.toxic == 1).alias("truth"))
+    rows = toxicity.score(docs.join(held, "doc_id", "left_semi"), models).join(held, "doc_id").collect()
+    toxic, clean = [r for r in rows if r.truth], [r for r in rows if not r.truth]
+    assert len(toxic) > 50 and sum(r.toxic for r in toxic) >= 0.8 * len(toxic) and sum(r.toxic for r in clean) <= 0.01 * len(clean)
