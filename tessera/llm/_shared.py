@@ -60,6 +60,15 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return whole
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the table that materialize() wrote for df, when nothing will read it any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if folder.getName().startswith("tessera-"):
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 #: Rows of ids or id pairs to broadcast at most: 16 MB. Larger sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -74,7 +83,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Every round each node takes its least neighbour for parent, pointers double until they reach the roots, and the edges
     shrink to those between roots: components at least halve in number. Nodes and edges stay distributed; the driver sees
-    counts.
+    counts. Loops, repeated edges and both directions of one count once; an end that is null joins nothing; nodes without
+    edges to others aren't in the result, and no edges give no rows. Other columns aren't read. Tables of rounds gone by are deleted.
     """
     tied = lambda df: df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs, labels = materialize(tied(edges.select("a", "b")), "edges"), None
@@ -84,6 +94,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         while True:
             above = small(parents.where("node <> up").select(F.col("node").alias("up"), F.col("up").alias("top")))
             jumped = materialize(parents.join(above, "up", "left").select("node", "up", F.coalesce("top", "up").alias("top")), "parents")
+            discard(parents)
             parents = jumped.select("node", F.col("top").alias("up"))
             if jumped.where("up <> top").isEmpty():
                 break
@@ -92,8 +103,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
             labels = parents.withColumnRenamed("up", "component")
         else:
             step = small(moved.select(F.col("node").alias("component"), "up"))
-            labels = materialize(labels.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
+            old, labels = labels, materialize(labels.join(step, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
+            discard(old)
         a, b = (small(moved.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up"))) for c in "ab")
         met = pairs.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_up", "a").alias("a"), F.coalesce("b_up", "b").alias("b"))
-        pairs = materialize(tied(met), "edges")
+        old, pairs = pairs, materialize(tied(met), "edges")
+        discard(old)
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")) if labels is None else labels

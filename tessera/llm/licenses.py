@@ -92,6 +92,24 @@ TITLES = {
 }
 
 
+# SHA-256 and length of the canonical full texts of longer licences, as their stewards publish them, title included.
+LONG_TEXTS = [
+    ("Apache-2.0", 9825, "adf220ee02537f83220e088f4488ca0e7557d614fac1cc48967b41d13911d6e0"),
+    ("GPL-1.0", 11765, "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", 17117, "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", 33406, "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("LGPL-2.0", 24130, "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", 25217, "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", 7104, "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", 22338, "1aa0a43a3c08988f252eca070027f3381bee0c3772f5ea248ca44b04b2724cf1"),
+    ("MPL-2.0", 14271, "92e88af3b436afcb6eef8128c9d1a7b2c6312377163ae31dfbacec094f33ab64"),
+    ("GFDL-1.2", 19578, "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"),
+    ("GFDL-1.3", 22013, "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
+    ("CC0-1.0", 6691, "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("Artistic-1.0-Perl", 5833, "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
+]
+
+
 def full_texts() -> list[tuple[str, str]]:
     """(SPDX id, text) of the short licences, numbered or with bullets, without and with their titles."""
     out = []
@@ -145,7 +163,8 @@ def canonical_py(text: str) -> str:
 
 def known_digests() -> list[tuple[str, str]]:
     """(SHA-256 of the canonical text, SPDX id), a few hundred rows whatever the input."""
-    return sorted({hashlib.sha256(canonical_py(t).encode()).hexdigest(): k for k, t in [*full_texts(), *notices()]}.items())
+    made = {hashlib.sha256(canonical_py(t).encode()).hexdigest(): k for k, t in [*full_texts(), *notices()]}
+    return sorted((made | {digest: k for k, _, digest in LONG_TEXTS}).items())
 
 
 #: Every known canonical text holds one of these after lower-casing, so other lines can't match.
@@ -189,7 +208,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     rows = ", ".join(f"('{d}', '{k}')" for d, k in known_digests())
     known = spark.sql(f"SELECT * FROM VALUES {rows} AS known(digest, license_id)")
-    lengths = {len(canonical_py(t)) for _, t in full_texts()}
+    lengths = {len(canonical_py(t)) for _, t in full_texts()} | {n for _, n, _ in LONG_TEXTS}
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     hinted = lambda x: F.translate(x, UPPER, LOWER).rlike(HINTS)
     if known_texts is not None:

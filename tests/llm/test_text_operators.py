@@ -296,3 +296,50 @@ def test_long_digits_and_long_local_parts():
     local = " dot ".join(f"ab{i}" for i in range(60))
     text = f"to {local} at corp dot example dot com now"
     assert [(k, text[s:e]) for k, s, e in pii.find_spans(text)[1]] == [("email", text[3:-4])]
+
+
+# ---- licences, read by a second pair of eyes ----
+def plain_notice(line):
+    """(SPDX id) of a one-line notice by plain reading, or None."""
+    words = re.sub(r"[^a-z0-9]+", " ", line.lower().replace("licence", "license")).strip()
+    lead = r"(?:licensed|released|distributed|this work is licensed) under (?:the )?"
+    for name, spdx in (("mit license", "MIT"), ("isc license", "ISC"), ("zlib license", "Zlib")):
+        if re.fullmatch(lead + name, words):
+            return spdx
+    for name, spdx, versions in (
+        ("apache license", "Apache", "2 0|1 1"), ("gnu general public license", "GPL", "2|2 0|3|3 0"), ("gnu lesser general public license", "LGPL", "2 1|3|3 0"),
+        ("gnu affero general public license", "AGPL", "3|3 0"), ("mozilla public license", "MPL", "1 1|2 0"), ("cc0", "CC0", "1 0"),
+        *((f"cc by{k.lower().replace('-', ' ')}", f"CC-BY{k}", "2 0|3 0|4 0") for k in ("", "-SA", "-ND", "-NC", "-NC-SA", "-NC-ND")),
+    ):
+        if m := re.fullmatch(rf"{lead}{name} (?:version )?({versions})", words):
+            v = m[1].replace(" ", ".")
+            return f"{spdx}-{v if '.' in v else v + '.0'}"
+    m = re.fullmatch(r"spdx license identifier ([a-z0-9 ]+)", words)
+    known = {re.sub(r"[^a-z0-9]+", " ", k.lower()): k for k, _ in licenses.notices()}
+    return known.get(m[1]) if m else None
+
+
+def test_notices_of_the_documents_equal_a_plain_reading(spark):
+    import os
+    from collections import Counter
+
+    data = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(data):
+        pytest.skip("no test tables")
+    table = spark.read.parquet(data)
+    want = Counter((r.doc_id, k) for r in table.collect() for line in (r.text or "").split("\n") if (k := plain_notice(line)))
+    got = {(r.doc_id, r.license_id): r.n_units for r in licenses.license_scan(table).where("scope = 'line'").collect()}
+    assert want and got == want
+
+
+def test_long_licences_by_their_digests(spark):
+    import os
+
+    folder = "/usr/share/common-licenses"
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = [(k, spdx, open(f"{folder}/{f}").read()) for k, (f, spdx) in enumerate(files.items()) if os.path.exists(f"{folder}/{f}")]
+    if not rows:
+        pytest.skip("no licence files")
+    cases = [(k, re.sub(r"[ \t]+", "  ", t).upper()) for k, _, t in rows] + [(100 + k, f"/* Start */\n\n{t}\n\nint main;\n") for k, _, t in rows] + [(200 + k, t[:-200]) for k, _, t in rows]
+    got = {(r.doc_id, r.license_id, r.scope) for r in licenses.license_scan(docs(spark, cases)).collect()}
+    assert got == {(k, spdx, "document") for k, spdx, _ in rows} | {(100 + k, spdx, "paragraphs") for k, spdx, _ in rows}
