@@ -13,6 +13,7 @@ from tessera.functions.values import DocField, Field
 from tessera.operators import feedback, graph, retrieve, temporal
 from tessera.operators.graph import Step
 from tessera.operators.retrieve import Order
+from tessera.operators.text_index import TextIndex
 from tessera.sources import bindings as b
 from tessera.sources.log import MutationLog
 from tessera.stored import new_folder, stored
@@ -190,6 +191,14 @@ def bm25_topk(spark, sf_dir):
     return _score(retrieve.lexical(b.doc(spark, sf_dir), "text", TEXT, 10), "id")
 
 
+@query(_bm25_sql(["the", "of", "license"], "SELECT id, round(score, 4) AS score FROM lex ORDER BY lex.score DESC, id LIMIT 10 OFFSET 2"))
+def bm25_from_index(spark, sf_dir):
+    """From a stored index; the second query of it reads no text."""
+    path = new_folder(spark, "index")
+    TextIndex.of(b.doc(spark, sf_dir), "text", path, version=1)
+    return _score(TextIndex.of(b.doc(spark, sf_dir), "text", path, version=1).top(TEXT, 10, offset=2), "id")
+
+
 @query(_bm25_sql(["license", "mit"], "SELECT id, round(score, 4) AS score FROM lex ORDER BY lex.score DESC, id LIMIT 10"))
 def bm25_duplicate_terms(spark, sf_dir):
     return _score(retrieve.lexical(b.doc(spark, sf_dir), "text", "License MIT license LICENSE", 10), "id")

@@ -259,3 +259,19 @@ def test_document_tables_project_and_guard_their_keys(spark, tmp_path):
     with pytest.raises(retrieve.UnknownSortField):
         retrieve.order_by_key(rows, rows, "nope")
     assert retrieve.order_by_key(rows.limit(0), rows, "nope").collect() == []
+
+
+def test_an_index_is_written_once_a_version(spark, tmp_path):
+    from tessera.operators.text_index import TextIndex
+
+    rows = [(i, ["red fox", "blue hen red", None, "", "Red, red!"][i % 5]) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    path = f"file://{tmp_path}/index"
+    index = TextIndex.of(df, "text", path, version=1)
+    want = {r.id: round(r.score, 9) for r in bm25(df, "text", "red hen none").collect()}
+    assert {r.id: round(r.score, 9) for r in index.scores("red hen none").collect()} == want
+    assert sorted(r.id for r in index.matches("hen").collect()) == [i for i in range(50) if i % 5 == 1] and index.matches("!?").collect() == [] and index.matches("nope").collect() == []
+    same = TextIndex.of(df.limit(1), "text", path, version=1)  # known for this version, so not written again
+    assert same.scores("red").count() == 50 and TextIndex.of(df.limit(1), "text", path, version=2).scores("red").count() == 1
+    plan = same.matches("hen")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket#" in plan and "PushedFilters: [" in plan
