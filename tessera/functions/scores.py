@@ -27,14 +27,29 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, UPPER, LOWER), NOT_A_TOKEN), lambda t: t != "")
 
 
-def spaced(text: Column) -> Column:
-    """The tokens of a text with two spaces between them and one at either end, so that each has spaces of its own."""
-    clean = F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), NOT_A_TOKEN, "  "))
-    return F.when(clean == "", F.lit("")).otherwise(F.concat(F.lit(" "), clean, F.lit(" ")))
+#: What lies between tokens, as the ASCII characters that it is.
+BETWEEN = r"[\x00-/:-@\[-`{-\x7f]+"
+#: The letters beyond ASCII whose lower case holds an ASCII letter.
+FOLD_TO_ASCII = "\u0130\u212a"
+
+
+def spaced(text: Column, ascii_terms: bool = False) -> Column:
+    """The tokens of a text with two spaces between them and one at either end, so that each has spaces of its own.
+
+    ascii_terms: only ASCII terms will be looked for, so letters beyond ASCII may be folded too, which is far cheaper.
+    """
+    low = F.translate(text, UPPER, LOWER)
+    if ascii_terms:
+        for letter in FOLD_TO_ASCII:
+            text = F.replace(text, F.lit(letter), F.lit("\x80"))
+        low = F.lower(text)
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(low, BETWEEN, "  ")), F.lit(" "))
 
 
 def n_tokens(words: Column) -> Column:
-    return ((F.char_length(words) - F.char_length(F.replace(words, F.lit(" "), F.lit("")))) / 2).cast("int")
+    """Of a text of spaced() tokens; two spaces alone are none."""
+    length = F.char_length(words)
+    return ((length - F.char_length(F.replace(words, F.lit(" "), F.lit("")))) / 2).cast("int") - (length == 2).cast("int")
 
 
 def occurrences(words: Column, term: str) -> Column:
@@ -52,7 +67,7 @@ def query_terms(query: str) -> list[str]:
 
 def term_counts(df: DataFrame, text: str, terms: list[str], keep: list[str | Column]) -> DataFrame:
     """keep, n (tokens; null without a text) and tf_0, tf_1 ... of the terms: one pass over the texts."""
-    words = df.select(*keep, spaced(F.col(f"`{text}`")).alias("_words"))
+    words = df.select(*keep, spaced(F.col(f"`{text}`"), all(t.isascii() for t in terms)).alias("_words"))
     kept = words.columns[:-1]
     return words.select(*(F.col(f"`{c}`") for c in kept), n_tokens(F.col("_words")).alias("n"), *(occurrences(F.col("_words"), t).alias(f"tf_{k}") for k, t in enumerate(terms)))
 

@@ -93,22 +93,21 @@ def match(nodes: DataFrame | Nodes, edges: DataFrame | list[Edges], start: str,
     any_nodes = next(iter(nodes.values()))
     frontier: Nodes = {}
     if own is not None:
-        frontier[table] = nodes[table].where(F.col("id") == own).select("id", F.lit(0).cast("long").alias("seq")).distinct()
-    seen = {t: f.select("id", F.lit(0.0).alias("score")) for t, f in frontier.items()}
+        frontier[table] = nodes[table].where(F.col("id") == own).select("id", F.lit(0).cast("long").alias("seq"), F.lit(0.0).alias("score")).distinct()
+    visits = {t: [f.select("id", "score", F.lit(0).alias("hop"))] for t, f in frontier.items()}
     for i, step in enumerate(steps):
         hops = _hop(edges, step, list(frontier), None if i else own)
         reached = _by_table([(there, e.join(frontier[here].select(F.col("id").alias("here")), "here", "left_semi")) for here, there, e in hops])
         frontier = {}
         for t, rows in reached.items():
-            first = rows.groupBy(F.col("there").alias("id")).agg(F.min("seq").alias("seq"), F.coalesce(F.min_by("weight", "seq"), F.lit(0.0)).cast("double").alias("new"))
+            first = rows.groupBy(F.col("there").alias("id")).agg(F.min("seq").alias("seq"), F.coalesce(F.min_by("weight", "seq"), F.lit(0.0)).cast("double").alias("score"))
             known = first.join(nodes[t].select("id"), "id", "left_semi")
-            if t in seen:
-                both = known.select("id", "new").join(seen[t], "id", "full_outer")
-                seen[t] = both.select("id", F.coalesce("score", "new").alias("score"))
-            else:
-                seen[t] = known.select("id", F.col("new").alias("score"))
-            frontier[t] = known.select("id", "seq")
-    last = [f.join(seen[t], "id").select(_shown(t).alias("id"), "score", "seq") for t, f in frontier.items()]
+            if t in visits:  # a table that an earlier hop reached: its first visit has the score
+                before = reduce(DataFrame.unionByName, visits[t]).groupBy("id").agg(F.min_by("score", "hop").alias("earlier"))
+                known = known.join(before, "id", "left").select("id", "seq", F.coalesce("earlier", "score").alias("score"))
+            visits.setdefault(t, []).append(known.select("id", "score", F.lit(i + 1).alias("hop")))
+            frontier[t] = known
+    last = [f.select(_shown(t).alias("id"), "score", "seq") for t, f in frontier.items()]
     return _union(last, any_nodes, "id string, score double, seq long")
 
 

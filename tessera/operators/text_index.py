@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.scores import bm25_of_counts, query_terms, spaced
+from tessera.functions.scores import bm25_of_counts, n_tokens, query_terms, spaced
 from tessera.operators.retrieve import top
 
 
@@ -32,12 +32,12 @@ class TextIndex:
         done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/statistics/_SUCCESS")
         if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
             words = F.split(F.trim("words"), " +")
-            rows = df.select("id", spaced(F.col(f"`{text}`")).alias("words")).withColumn("n", F.when(F.col("words") == "", 0).otherwise(F.size(words)))
+            rows = df.select("id", spaced(F.col(f"`{text}`")).alias("words")).withColumn("n", n_tokens(F.col("words")))
             each = rows.where("n > 0").select("id", "n", F.explode(words).alias("term")).groupBy("term", "id", "n").agg(F.count(F.lit(1)).cast("int").alias("tf"))
             bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
             by_bucket = each.select("term", "id", "n", "tf", bucket).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8)))  # a common term is in several files
             by_bucket.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-            rows.select("id", F.when(F.col("words").isNotNull(), F.col("n")).alias("n")).write.mode("overwrite").parquet(f"{folder}/lengths")
+            rows.select("id", "n").write.mode("overwrite").parquet(f"{folder}/lengths")
             lengths = spark.read.parquet(f"{folder}/lengths").where("n is not null")
             lengths.agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("tokens")).write.mode("overwrite").parquet(f"{folder}/statistics")
         return cls(spark, folder, buckets)
@@ -47,12 +47,12 @@ class TextIndex:
         terms = query_terms(query)
         if not terms:
             return self.spark.read.parquet(f"{self.folder}/lengths").select("id", F.lit(0.0).alias("score")).limit(0)
-        n_texts, n_tokens = self.spark.read.parquet(f"{self.folder}/statistics").first()
+        n_texts, n_words = self.spark.read.parquet(f"{self.folder}/statistics").first()
         hashes = self.spark.range(1).select(*(F.pmod(F.xxhash64(F.lit(t)), F.lit(self.buckets)).cast("int") for t in terms)).first()
         own = self.spark.read.parquet(f"{self.folder}/postings").where(F.col("bucket").isin(sorted(set(hashes))) & F.col("term").isin(terms))
         holding = {r.term: r.n for r in own.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a term of the query
         counts = own.groupBy("id", "n").agg(*(F.coalesce(F.max(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"tf_{k}") for k, t in enumerate(terms)))
-        statistics = n_texts, max(1.0, (n_tokens or 0) / max(1, n_texts)), [holding.get(t, 0) for t in terms]
+        statistics = n_texts, max(1.0, (n_words or 0) / max(1, n_texts)), [holding.get(t, 0) for t in terms]
         return counts.select("id", bm25_of_counts(statistics).alias("score"))
 
     def scores(self, query: str) -> DataFrame:

@@ -275,3 +275,16 @@ def test_an_index_is_written_once_a_version(spark, tmp_path):
     assert same.scores("red").count() == 50 and TextIndex.of(df.limit(1), "text", path, version=2).scores("red").count() == 1
     plan = same.matches("hen")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: []" not in plan and "EqualTo(term,hen)" in plan
+
+
+def test_token_counts_equal_plain_ones(spark):
+    from tessera.functions.scores import term_counts
+
+    texts = ["", " ", "a", " a  b\tA ", "the-the THE_the", "\u0130a K\u212a k \u00c9 \u00e9", "x\u00e9a the\u00e9 the", None, "\n the\n", "a.b.c a"]
+    for query in ("the a k i", "the a \u00e9"):
+        terms = query_terms(query)
+        df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+        want = {r.id: r.k for r in df.select("id", tokens(F.col("t")).alias("k")).collect()}
+        for r in term_counts(df, "t", terms, ["id"]).collect():
+            k = want[r.id]
+            assert (r.n, *r[2:]) == ((None,) * (len(terms) + 1) if k is None else (len(k), *(k.count(t) for t in terms))), (r, k)
