@@ -29,67 +29,84 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
 
 
 class MergeReplay:
-    """Encodes many words at once with the ranks of a byte-level vocabulary."""
+    """Encodes many words at once with the ranks of a byte-level vocabulary; a token's id is its rank."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        #: Rank of what two tokens make together, by both in one number: every way to part a token into two.
+        self.pairs = {
+            left << 32 | right: rank
+            for token, rank in ranks.items() for k in range(1, len(token))
+            if (left := ranks.get(token[:k])) is not None and (right := ranks.get(token[k:])) is not None
+        }
+        self.byte_pairs = np.full((256, 256), -1, np.int64)
+        for a in range(256):
+            for b in range(256):
+                self.byte_pairs[a, b] = ranks.get(bytes([a, b]), -1)
 
     def encode(self, words: list[bytes]) -> list[np.ndarray]:
         """Token ids of each word. A word that is a token is that token, as the vocabulary's library has it."""
-        ranks, out = self.ranks, [None] * len(words)
-        pieces, nexts, prevs, start_of, index = [], [], [], {}, {}
-        for w, word in enumerate(words):
-            if (whole := ranks.get(word)) is not None:
-                out[w] = [whole]
-                continue
-            first, n = len(pieces), len(word)
-            start_of[w] = first
-            pieces += [word[i : i + 1] for i in range(n)]
-            nexts += [*range(first + 1, first + n), -1] if n else []
-            prevs += [-1, *range(first, first + n - 1)] if n else []
-            for i in range(n - 1):
-                if (r := ranks.get(word[i : i + 2])) is not None:
-                    index.setdefault(r, []).append(first + i)
-        heap = list(index)
-        heapq.heapify(heap)
+        whole = [self.ranks.get(w) for w in words]
+        parted = [w for w, r in zip(words, whole, strict=True) if r is None]
+        ends = np.cumsum([len(w) for w in parted], dtype=np.int64)
+        ids = self._replay(np.frombuffer(b"".join(parted), np.uint8), ends) if len(ends) and ends[-1] else np.empty(0, np.int64)
+        alive = np.flatnonzero(ids >= 0)
+        made = iter(np.split(ids[alive].astype("<u4"), np.searchsorted(alive, ends)[:-1]) if len(ends) else [])
+        return [next(made) if r is None else np.array([r], "<u4") for r in whole]
+
+    def _replay(self, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Ids by the place of each token's first byte, -1 elsewhere, of words one after the other; ends: where each stops."""
+        n, pair = len(raw), self.pairs.get
+        last = np.zeros(n, bool)
+        last[ends[ends > 0] - 1] = True
+        ids = self.single[raw].tolist()
+        nexts = np.where(last, -1, np.arange(1, n + 1)).tolist()
+        prevs = np.where(np.concatenate([[True], last[:-1]]), -1, np.arange(-1, n - 1)).tolist()
+        first = np.append(np.where(last[:-1], -1, self.byte_pairs[raw[:-1], raw[1:]]), -1)
+        order = np.argsort(first, kind="stable")
+        order = order[np.searchsorted(first[order], 0) :]
+        found, begin = np.unique(first[order], return_index=True)
+        index = {r: at.tolist() for r, at in zip(found.tolist(), np.split(order, begin[1:]), strict=True)}  # an inverted index: places of each pair
+        heap = list(index)  # sorted, so a heap
         while heap:
             rank = heapq.heappop(heap)
-            positions = index.pop(rank, None)
-            if positions is None:
+            places = index.pop(rank, None)
+            if places is None:
                 continue
-            merged, blocked = self.tokens[rank], -1
-            positions.sort()  # leftmost first within each word
-            for at, here in enumerate(positions):
+            places.sort()  # leftmost first within each word
+            for at, here in enumerate(places):
                 then = nexts[here]
-                if pieces[here] is None or then < 0 or pieces[here] + pieces[then] != merged:
+                if then < 0 or ids[here] < 0 or pair(ids[here] << 32 | ids[then]) != rank:
                     continue  # a neighbour's merge took part of the pair
-                after = nexts[then]
-                pieces[here], pieces[then], nexts[here] = merged, None, after
+                after, before, early = nexts[then], prevs[here], False
+                ids[here], ids[then], nexts[here] = rank, -1, after
                 if after >= 0:
                     prevs[after] = here
-                before, early = prevs[here], False
-                for left, right in ((before, here), (here, after)):
-                    if left >= 0 and right >= 0 and (r := ranks.get(pieces[left] + pieces[right])) is not None:
-                        if r not in index:
-                            index[r] = []
+                    if (r := pair(rank << 32 | ids[after])) is not None:
+                        if r in index:
+                            index[r].append(here)
+                        else:
+                            index[r] = [here]
                             heapq.heappush(heap, r)
-                        index[r].append(left)
-                        early |= r < rank
+                        early = r < rank
+                if before >= 0 and (r := pair(ids[before] << 32 | rank)) is not None:
+                    if r in index:
+                        index[r].append(before)
+                    else:
+                        index[r] = [before]
+                        heapq.heappush(heap, r)
+                    early |= r < rank
                 if early:  # that pair comes before the rest of this one
-                    index.setdefault(rank, []).extend(positions[at + 1 :])
-                    heapq.heappush(heap, rank)
+                    rest = places[at + 1 :]
+                    if rest:
+                        index.setdefault(rank, []).extend(rest)
+                        heapq.heappush(heap, rank)
                     break
-        for w, first in start_of.items():
-            ids, i = [], first if words[w] else -1
-            while i >= 0:
-                ids.append(ranks[pieces[i]])
-                i = nexts[i]
-            out[w] = ids
-        return [np.asarray(ids, dtype="<u4") for ids in out]
+        return np.array(ids, np.int64)
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
