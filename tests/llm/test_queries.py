@@ -123,3 +123,58 @@ def test_texts_are_dealt_to_shards(spark):
     plan = queries.op2_sharding(spark, DATA)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     moved = [x for x in plan.split("\n\n") if ") Exchange\n" in x and " text#" in x]
     assert len(moved) >= 2  # to the cells and to the buckets of the shards
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+def holds(words, item):
+    """Whether some surroundings of a window hold the item, by the plain rule."""
+    from tessera.llm import decontaminate as d
+
+    n, tail = len(item), item[-d.ANSWER_WORDS :]
+    if sum(w in set(words) for w in item) < d.PARAPHRASE * n:
+        return False
+    for start in range(0, max(1, -(-len(words) // d.HALF) - 1) * d.HALF, d.HALF):
+        near = words[max(0, start - n) : start + 2 * d.HALF + n]
+        if sum(w in set(near) for w in item) >= d.PARAPHRASE * n:
+            got = longest_common(item, near)
+            if got >= d.LEAK * n or got >= d.PARAPHRASE * n and longest_common(tail, near) >= d.ANSWER * len(tail):
+                return True
+    return False
+
+
+def test_last_stages_of_the_pipeline_equal_plain_versions(spark, con):
+    """Decontamination, personal data and tokens, each on all that the stage before kept."""
+    import re
+
+    import corpus_pipeline
+    from tessera.llm._shared import materialize
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    kept = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        kept.append(materialize(stage(spark, kept[-1], DATA), name))
+    second, third, fourth, last = ({r.doc_id: r for r in k.collect()} for k in kept[2:])
+    items = [decontaminate_words(t) for (t,) in con.execute("SELECT text FROM benchmark").fetchall()]
+    assert set(third) == {i for i, r in second.items() if not any(holds(decontaminate_words(r.text or ""), item) for item in items)} and 0 < len(third) < len(second)
+    for i, r in fourth.items():
+        before, spans = third[i].text or "", brute_base(third[i].text or "")
+        assert {**r.asDict(), "text": None} == {**third[i].asDict(), "text": None}
+        for kind in pii.KINDS:  # as many marks as stretches that begin with this kind
+            assert len(re.findall(rf"\[{kind.upper()}\]", r.text)) <= sum(s[0] == kind for s in pii.find_spans(before)[1])
+        assert not spans or r.text != before
+        if not spans and not pii.find_spans(before)[1]:
+            assert r.text == before
+        assert not [s for s in brute_base(r.text) if s[0] in ("email", "card")]
+    assert set(fourth) == set(third) == set(last)
+    ranks = bpe.parse_ranks(open(public_tokenizers.path(queries.RANKS), "rb").read())
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert all(r.ids == enc.encode_ordinary(fourth[i].text or "") and r.n_tokens == len(r.ids) for i, r in last.items())
