@@ -229,6 +229,10 @@ def _sketch(k: int, num: int, den: int, targets: int):
             sig, owner, a, b = meet(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
             if len(a):
                 yield _rows(kind=np.full(len(a), EDGE), a=a, b=b)
+                # These edges lead to the least document of each group, which now stands for all of it: what groups of other
+                # tasks share with this one meets there, once, and not at each of its documents.
+                at = np.minimum(np.searchsorted(a, owner), len(a) - 1)
+                owner = np.where(a[at] == owner, b[at], owner)
             to = (sig >> U64(32)) % U64(targets)
             order = np.argsort(to, kind="stable")
             cuts = np.searchsorted(to[order], np.arange(targets + 1, dtype=U64))
